@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lines, mixing, tokenbin
+from . import lines, mixing, neardup, tokenbin
 
-_MODULES = (lines, mixing, tokenbin)
+_MODULES = (lines, mixing, neardup, tokenbin)
 
 
 def _named() -> dict[str, tuple]:
