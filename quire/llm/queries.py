@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lines, mixing, neardup, tokenbin
+from . import classifier, lines, mixing, neardup, rules, tokenbin
 
-_MODULES = (lines, mixing, neardup, tokenbin)
+_MODULES = (classifier, lines, mixing, neardup, rules, tokenbin)
 
 
 def _named() -> dict[str, tuple]:
