@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, classifier, lines, mixing, neardup, rules, tokenbin
+from . import chat, classifier, decontam, licenses, lines, mixing, neardup, rules, secrets, tokenbin
 
-_MODULES = (chat, classifier, lines, mixing, neardup, rules, tokenbin)
+_MODULES = (chat, classifier, decontam, licenses, lines, mixing, neardup, rules, secrets, tokenbin)
 
 
 def _named() -> dict[str, tuple]:
