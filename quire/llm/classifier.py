@@ -187,3 +187,20 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that score at least ``threshold``, all columns unchanged, in the pass that scores them."""
+    model, schema = train(docs, labels, id_col=id_col, text_col=text_col, max_train=max_train), docs.schema
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [features.of(t or "") for t in part.column(place).to_pylist()]
+                good = scores(model, [p for p, _ in found], [v for _, v in found]) >= threshold
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, schema)

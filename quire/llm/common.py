@@ -102,3 +102,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     h *= _Q
     h ^= h >> np.uint64(32)
     return h
+
+
+def worker_state(key: str, make):
+    """What make() gives, kept for later tasks of the same Python worker: tables that only save time."""
+    import sys
+    from types import ModuleType
+
+    held = sys.modules.setdefault("_quire_worker_state", ModuleType("_quire_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

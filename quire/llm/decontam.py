@@ -95,57 +95,65 @@ def _slots_agree(kinds: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> boo
     return True
 
 
-def _passages(items: list[tuple[int, str]], window: int, least: int) -> Callable:
+class _Finder:
     """Joins the windows of texts with the windows of the items, extends matches along both, and checks slots."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
-        parsed = [(item, *canon.of(text)[1:]) for item, text in items]
-        keys, where = [], []
-        for i, (_, kind, template, _) in enumerate(parsed):
-            size = min(window, max(1, len(template)))
+    def __init__(self, items: list[tuple[int, str]], window: int, least: int):
+        self.window, self.least, self.canon = window, least, Canon()
+        self.parsed = [(item, *self.canon.of(text)[1:]) for item, text in items]
+        keys, self.where = [np.empty(0, np.uint64)], []
+        for i, (_, kind, template, _) in enumerate(self.parsed):
             if len(template) < window:
                 continue  # too short to tell anything
-            plain = np.convolve(kind == LITERAL, np.ones(size, int), "valid")
-            for at in np.nonzero(plain >= LITERALS)[0].tolist():
-                where.append((i, at))
-            keys.append(gram_hashes(template, window)[plain >= LITERALS])
-        keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            plain = np.convolve(kind == LITERAL, np.ones(window, int), "valid") >= LITERALS
+            self.where += [(i, at) for at in np.nonzero(plain)[0].tolist()]
+            keys.append(gram_hashes(template, window)[plain])
+        keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        keys, where = keys[order], [where[i] for i in order.tolist()]
+        self.keys, self.where = keys[order], [self.where[i] for i in order.tolist()]
         # one bit for each value of the lower 22 bits: most windows are turned away by one look-up
-        sieve = np.zeros(1 << 22, bool)
-        sieve[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[self._low(self.keys)] = True
+
+    @staticmethod
+    def _low(keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64((1 << 22) - 1)).astype(np.int64)
+
+    def passages(self, text: str) -> Iterator[tuple]:
+        """(item, first word here, first word there, words, coverage, changed slots)."""
+        _, kind, template, plain = self.canon.of(text)
+        grams = gram_hashes(template, self.window)
+        maybe = np.nonzero(self.sieve[self._low(grams)])[0]
+        if not len(maybe):
+            return
+        lo, hi = (np.searchsorted(self.keys, grams[maybe], side).tolist() for side in ("left", "right"))
+        done: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the run that was looked at
+        for at, a, b in zip(maybe.tolist(), lo, hi):
+            for i, there in self.where[a:b]:
+                if done.get((i, at - there), -1) > at:
+                    continue
+                item, _, t, p = self.parsed[i]
+                k = min(at, there)
+                n = min(len(template) - at, len(t) - there) + k
+                x, y = slice(at - k, at - k + n), slice(there - k, there - k + n)
+                equal = np.concatenate([[False], (template[x] == t[y]) | (plain[x] == p[y]), [False]])
+                breaks = np.nonzero(~equal)[0]
+                end = int(breaks[np.searchsorted(breaks, k + 1)]) - 1
+                start = int(breaks[np.searchsorted(breaks, k + 1) - 1])
+                first, theirs, length = at - k + start, there - k + start, end - start
+                done[i, at - there] = first + length
+                mine, other = plain[first : first + length], p[theirs : theirs + length]
+                if length >= min(self.least, len(t)) and _slots_agree(kind[first : first + length], mine, other):
+                    yield item, first, theirs, length, length / len(t), int((mine != other).sum())
 
+
+def _passages(items: list[tuple[int, str]], window: int, least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Finder(items, window, least)
+        names = ["doc_id", "item_id", "text_word", "item_word", "words", "coverage", "changed_slots"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, kind, template, plain = canon.of(text or "")
-                grams = gram_hashes(template, window)
-                maybe = np.nonzero(sieve[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])[0] if len(grams) else []
-                if not len(maybe) or not len(keys):
-                    continue
-                lo, hi = np.searchsorted(keys, grams[maybe]), np.searchsorted(keys, grams[maybe], "right")
-                done: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the run that was looked at
-                for at, a, b in zip(maybe.tolist(), lo.tolist(), hi.tolist()):
-                    for i, there in where[a:b]:
-                        if done.get((i, at - there), -1) > at:
-                            continue
-                        item, _, t, p = parsed[i]
-                        k = min(at, there)
-                        n = min(len(template) - at, len(t) - there) + k
-                        x, y = slice(at - k, at - k + n), slice(there - k, there - k + n)
-                        equal = np.concatenate([[False], (template[x] == t[y]) | (plain[x] == p[y]), [False]])
-                        start = k - int(np.argmin(equal[k::-1])) if k else 0
-                        length = int(np.argmin(equal[k + 1 :])) + k - start
-                        first, theirs = at - k + start, there - k + start
-                        done[i, at - there] = first + length
-                        mine, other = plain[first : first + length], p[theirs : theirs + length]
-                        if length >= min(least, len(t)) and _slots_agree(kind[first : first + length], mine, other):
-                            changed = int((mine != other).sum())
-                            out.append((doc_id, item, first, theirs, length, length / len(t), changed))
-            names = ["doc_id", "item_id", "text_word", "item_word", "words", "coverage", "changed_slots"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            out = [(doc_id, *x) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in finder.passages(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
     return run
@@ -172,23 +180,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     ``PASS_WORDS`` words; the driver counts the benchmark's words first and a larger one takes several passes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    out, part, held = None, [], 0
-
-    def add() -> None:
-        nonlocal out, part, held
+    out = None
+    for part in _parts(benchmark, item_col):
         found = rows.mapInArrow(_passages(part, window, least_words), _SCHEMA)
         out = found if out is None else out.union(found)
-        part, held = [], 0
+    return out
+
 
+def _parts(benchmark: DataFrame, item_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Items in parts of about ``PASS_WORDS`` words; one empty part if there is none."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    part, held = [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
         part.append((r["item_id"], r["text"]))
         held += len(r["text"].split())
         if held >= PASS_WORDS:
-            add()
-    if part or out is None:
-        add()
-    return out
+            yield part
+            part, held = [], 0
+    if part or not held:
+        yield part
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of docs without a passage that ``find_leaks`` finds, all columns unchanged, in the same pass."""
+    place, schema = docs.columns.index(text_col), docs.schema
+
+    def clean(part: list[tuple[int, str]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = _Finder(part, window, least_words)
+            for batch in batches:
+                yield batch.filter(pa.array([next(finder.passages(t or ""), None) is None for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        return run
+
+    for part in _parts(benchmark, item_col):
+        docs = docs.mapInArrow(clean(part), schema)
+    return docs
 
 
 def op2_template_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ MAX_REPEAT = 2
 BLOCK_WORDS = 32
 SHARD_WORDS = 1_000_000
 MAX_SHARDS = 4096
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
@@ -157,6 +161,56 @@ def taken_sql(block_words: int) -> str:
     )
 
 
+def _writer(block: int, columns: list[str], text_col: str) -> Callable:
+    """Over rows of documents and their plan: a row for each time that words of the document are taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plan = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("mix_size", "mix_start", "mix_blocks", "mix_base", "mix_rest", "mix_mul", "mix_add")]
+            rows, texts = [], []
+            for i, (text, size, start, n, base, rest, mul, add) in enumerate(zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), *plan)):
+                if not size:
+                    continue
+                more = [(mul * j + add) % n < rest for j in range(start // block, (start + size - 1) // block + 1)]
+                rows += [i] * base
+                texts += [text] * base
+                if all(more):
+                    rows.append(i)
+                    texts.append(text)
+                elif any(more):
+                    spots, first, parts = [m.span() for m in _WORDS.finditer(text)], start // block, []
+                    k = 0
+                    while k < len(more):
+                        if more[k]:
+                            e = k
+                            while e < len(more) and more[e]:
+                                e += 1
+                            a, b = max(start, (first + k) * block) - start, min(start + size, (first + e) * block) - start
+                            parts.append(text[spots[a][0] : spots[b - 1][1]])
+                            k = e
+                        k += 1
+                    rows.append(i)
+                    texts.append("\n".join(parts))
+            out = batch.select(columns).take(pa.array(rows, pa.int64()))
+            arrays = [pa.array(texts, pa.string()) if c == text_col else out.column(k) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return run
+
+
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time words of a document are taken.
+
+    A document whose blocks are all taken keeps its text; otherwise the text has its taken blocks, runs of them as
+    they stand and a line break between runs. Rows that repeat an id share the plan of the first of them in plan order.
+    """
+    plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, block_words=block_words, **options)
+    names = {"size": "mix_size", "start": "mix_start", "n_blocks": "mix_blocks", "base": "mix_base", "rest": "mix_rest", "mul": "mix_mul", "add": "mix_add"}
+    plan = plan.filter("taken > 0").groupBy("doc_id", "size").agg(F.min(F.struct(*list(names)[1:])).alias("x")).select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), *(F.col(f"x.{c}").alias(n) for c, n in list(names.items())[1:]))
+    joined = docs.join(plan.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("mix_id")) & (word_count(docs[text_col]) == F.col("mix_size"))).drop("mix_id")
+    return joined.mapInArrow(_writer(block_words, docs.columns, text_col), docs.schema)
+
+
 def _small(df: DataFrame, n: int) -> DataFrame:
     """Broadcast a table made on the driver while it has few rows; beyond that Spark joins it by a shuffle."""
     return F.broadcast(df) if n <= 50_000 else df
