@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, scratch_path
+from .common import materialise, scratch_path, worker_state
 from .pfor import chunks as chunks_of
 from .pfor import encode_chunk
 
@@ -26,71 +26,139 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Places(dict):
+    """piece -> place in the table; a new piece gets the next place and waits in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        value = self[piece] = len(self)
+        self.new.append(piece)
+        return value
+
+
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees every distinct space-led piece once.
+    """Ids of whole texts by the tokenizers library, which sees a space-led piece once as long as the table holds it.
 
     The vocabulary's pre-tokenizer ends a token at a space that stands between two characters that are no white
-    space, so " piece" is encoded alike wherever it stands. Texts in which some piece is empty, or begins or ends
-    with white space, or holds a special token, go to the library whole. Only memory bounds the piece table: it is
-    emptied when full and filled again.
+    space, so " piece" is encoded alike wherever it stands; and a run of stops after a letter or number is a token run of
+    its own. New pieces go to the library together, as one text: an id that starts with a space starts a
+    piece. Texts in which some piece is empty, or begins or ends with white space, or holds a special token, go to the
+    library whole. The table is emptied when full and filled again.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000):
+    STOPS = ".,;:!?"
+
+    def __init__(self, tokenizer_json: str, most: int = 400_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
-        self.led: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._empty()
+
+    def _empty(self) -> None:
+        self.places = _Places()
+        self.ids, self.used = np.empty(1 << 16, "<u4"), 0
+        self.starts, self.counts = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _put(self, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Append the ids of these places; a count of -1 marks a piece that isn't encoded apart."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(self.places) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        self.ids[self.used : self.used + len(ids)] = ids
+        held = np.maximum(counts, 0)
+        self.starts[places] = self.used + np.cumsum(held) - held
+        self.counts[places] = counts
+        self.used += len(ids)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces without white space at their ends."""
+        for i in range(0, len(pieces), 2048):
+            part = pieces[i : i + 2048]
+            at = np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))
+            ids = self._whole([" " + " ".join(part)])[0]
+            starts = np.nonzero(self.leads[ids])[0]
+            if len(starts) == len(part):
+                self._put(at, ids, np.diff(starts, append=len(ids)))
+            else:  # not a vocabulary of this kind
+                found = self._whole([" " + p for p in part])
+                self._put(at, np.concatenate(found), np.asarray([len(x) for x in found]))
+
+    def _settle(self) -> None:
+        """Give every new piece its ids."""
+        places, new = self.places, self.places.new
+        plain, odd, stopped = [], [], []
+        for p in new:
+            if not p or p[0].isspace() or p[-1].isspace():
+                odd.append(p)
+                continue
+            stem = p.rstrip(self.STOPS)
+            if stem and stem != p and stem[-1].isalnum():
+                stopped.append((p, stem, p[len(stem) :]))
+            else:
+                plain.append(p)
+        places.new = []
+        for _, stem, _ in stopped:
+            places[stem]  # noqa: B018  a stem that is new gets its place here
+        self._learn(plain + places.new)
+        places.new = []
+        if odd:
+            self._put(np.asarray([places[p] for p in odd]), np.empty(0, "<u4"), np.full(len(odd), -1))
+        if stopped:
+            runs = list({r for *_, r in stopped})
+            after = dict(zip(runs, self._whole(runs)))
+            made = []
+            for _, stem, run in stopped:
+                k = places[stem]
+                made.append(np.concatenate([self.ids[self.starts[k] : self.starts[k] + self.counts[k]], after[run]]))
+            self._put(np.asarray([places[p] for p, *_ in stopped]), np.concatenate(made), np.asarray([len(x) for x in made]))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of every text."""
-        if len(self.led) > self.most:
-            self.led.clear()
-        led = self.led
-        split = [None if self._whole(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            if pieces:
-                new.update(pieces[1:])
-        new = [p for p in new if p not in led]
-        good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        led.update(dict.fromkeys(new))
-        for i in range(0, len(good), 4096):
-            part = good[i : i + 4096]
-            led.update(zip(part, self._encode([" " + p for p in part])))
-        out: list[bytes | None] = []
-        first: list[str] = []
-        for pieces in split:
-            try:
-                if pieces is None or not pieces[0] or pieces[0][-1].isspace():
-                    raise TypeError
-                out.append(b"".join(map(led.__getitem__, pieces[1:])))
-                first.append(pieces[0])
-            except TypeError:  # None stands for a piece that isn't encoded apart
-                out.append(None)
-        firsts = iter(self._encode(first))
-        whole = iter(self._encode([t for t, x in zip(texts, out) if x is None]))
-        return [next(whole) if x is None else next(firsts) + x for x in out]
+        if len(self.places) > self.most:
+            self._empty()
+        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        lengths = [len(x) - 1 if x else 0 for x in split]
+        flat = [p for x in split if x for p in x[1:]]
+        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        self._settle()
+        counts = self.counts[at]
+        ends = np.cumsum([0, *lengths])
+        # a text is encoded by pieces if none of them is odd
+        odd = np.concatenate([[0], np.cumsum(counts < 0)])
+        apart = [x is not None and bool(x[0]) and not x[0][-1].isspace() and odd[a] == odd[b] for x, a, b in zip(split, ends, ends[1:])]
+        counts = np.maximum(counts, 0)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
+        firsts = iter(self._whole([x[0] for x, own in zip(split, apart) if own]))
+        whole = iter(self._whole([t for t, own in zip(texts, apart) if not own]))
+        return [np.concatenate([next(firsts), ids[upto[a] : upto[b]]]) if own else next(whole) for own, a, b in zip(apart, ends, ends[1:])]
 
 
 def _encoder(tokenizer_json: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_json), np.asarray([end_id], "<u4").tobytes()
-        ids: list[bytes] = []
+        key = f"token pieces {zlib.crc32(tokenizer_json.encode())}"
+        encoder, end = worker_state(key, lambda: PieceEncoder(tokenizer_json)), np.asarray([end_id], "<u4")
+        ids: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
 
         def chunk() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            data = encode_chunk(docs, [len(x) // 4 for x in ids], flat)
+            data = encode_chunk(docs, [len(x) for x in ids], np.concatenate(ids))
             ids.clear()
             docs.clear()
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["chunk"])
@@ -100,9 +168,9 @@ def _encoder(tokenizer_json: str, end_id: int) -> Callable[[Iterator[pa.RecordBa
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, found in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                    ids.append(found + end)
+                    ids.append(np.concatenate([found, end]))
                     docs.append(doc_id)
-                    held += len(ids[-1]) // 4
+                    held += len(ids[-1])
                     if held >= CHUNK_IDS:
                         held = 0
                         yield chunk()
