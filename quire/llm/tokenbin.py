@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class PieceEncoder:
     space, so " piece" is encoded alike wherever it stands; and a run of stops after a letter or number is a token run of
     its own. New pieces go to the library together, as one text: an id that starts with a space starts a
     piece. Texts in which some piece is empty, or begins or ends with white space, or holds a special token, go to the
-    library whole. The table is emptied when full and filled again.
+    library whole. When the table is full, the pieces that were met least often leave it.
     """
 
     STOPS = ".,;:!?"
@@ -69,6 +70,21 @@ class PieceEncoder:
         self.places = _Places()
         self.ids, self.used = np.empty(1 << 16, "<u4"), 0
         self.starts, self.counts = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.met = np.empty(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the pieces that were met most often, at most half of the table."""
+        places, ids, starts, counts, met = self.places, self.ids, self.starts, self.counts, self.met
+        least = max(2, int(np.partition(met, len(met) - self.most // 2)[len(met) - self.most // 2]) + 1)
+        stay = (met >= least) & (counts[: len(met)] >= 0)
+        pieces = [p for p, own in zip(places, stay.tolist()) if own]
+        old = np.nonzero(stay)[0]
+        held = counts[old]
+        flat = ids[np.repeat(starts[old] - (np.cumsum(held) - held), held) + np.arange(held.sum())]
+        self._empty()
+        self.places.update(zip(pieces, range(len(pieces))))
+        self._put(np.arange(len(pieces)), flat, held)
+        self.met = met[old] // 2
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,24 +101,26 @@ class PieceEncoder:
         self.counts[places] = counts
         self.used += len(ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces without white space at their ends."""
+    def _learn(self, pieces: list[str], at: np.ndarray) -> None:
+        """Encode pieces without white space at their ends and put them in their places."""
         for i in range(0, len(pieces), 2048):
             part = pieces[i : i + 2048]
-            at = np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))
             ids = self._whole([" " + " ".join(part)])[0]
             starts = np.nonzero(self.leads[ids])[0]
             if len(starts) == len(part):
-                self._put(at, ids, np.diff(starts, append=len(ids)))
+                self._put(at[i : i + 2048], ids, np.diff(starts, append=len(ids)))
             else:  # not a vocabulary of this kind
                 found = self._whole([" " + p for p in part])
-                self._put(at, np.concatenate(found), np.asarray([len(x) for x in found]))
+                self._put(at[i : i + 2048], np.concatenate(found), np.asarray([len(x) for x in found]))
 
     def _settle(self) -> None:
-        """Give every new piece its ids."""
+        """Give every new piece its ids. New pieces have the last places, in order."""
         places, new = self.places, self.places.new
+        letters = np.fromiter(map(str.isalpha, new), bool, len(new))
+        base = len(places) - len(new)
+        self._learn(list(compress(new, letters)), base + np.nonzero(letters)[0])
         plain, odd, stopped = [], [], []
-        for p in new:
+        for p in compress(new, ~letters):
             if not p or p[0].isspace() or p[-1].isspace():
                 odd.append(p)
                 continue
@@ -114,8 +132,9 @@ class PieceEncoder:
         places.new = []
         for _, stem, _ in stopped:
             places[stem]  # noqa: B018  a stem that is new gets its place here
-        self._learn(plain + places.new)
+        plain += places.new
         places.new = []
+        self._learn(plain, np.fromiter(map(places.__getitem__, plain), np.int64, len(plain)))
         if odd:
             self._put(np.asarray([places[p] for p in odd]), np.empty(0, "<u4"), np.full(len(odd), -1))
         if stopped:
@@ -130,12 +149,15 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of every text."""
         if len(self.places) > self.most:
-            self._empty()
+            self._shrink()
         split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
         lengths = [len(x) - 1 if x else 0 for x in split]
         flat = [p for x in split if x for p in x[1:]]
         at = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
         self._settle()
+        met = np.bincount(at, minlength=len(self.places))
+        met[: len(self.met)] += self.met
+        self.met = met
         counts = self.counts[at]
         ends = np.cumsum([0, *lengths])
         # a text is encoded by pieces if none of them is odd
