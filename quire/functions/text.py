@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,10 +115,10 @@ def _round(v: Column) -> Column:
 
     def by(scale: int) -> Column:
         twice = (v * float(scale)).cast("bigint").cast("decimal(20,0)") * F.lit(20000).cast("decimal(6,0)")
-        middle = (2 * floor + 1).cast("decimal(17,0)") * F.lit(scale).cast("decimal(20,0)")
+        middle = (2 * floor + 1).cast("decimal(15,0)") * F.lit(Decimal(scale)).cast("decimal(22,0)")
         return (floor + F.when(twice > middle, 1).when(twice < middle, 0).otherwise(floor % 2)) / 10000.0
 
-    return F.when(v < 0.0009765625, F.bround(v, 4)).when(v <= 1.0, by(2**62)).when(v < 2000.0, by(2**52)).otherwise(by(2**42))
+    return F.when(v < 0.0009765625, by(2**72)).when(v <= 1.0, by(2**62)).when(v < 2000.0, by(2**52)).otherwise(by(2**42))
 
 
 def rounded(col: str, name: str | None = None) -> Column:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..config import CANDIDATE_THRESHOLD, CONTEXT_LIMIT, SAFETY_RATIO
 from ..operators import invariants as I
 from ..operators import ledger, relate
+from ..sources.scratch import stored
 from . import planner
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Tables of one run, all keyed by doc_id; nothing is computed before an action."""
+    """Tables of one run, all keyed by doc_id."""
 
     documents: DataFrame
     rejects: DataFrame
@@ -41,25 +42,26 @@ class Analysis:
         return I.complexity(self.documents, self.resource_plan, self.sections, self.units, self.plan)
 
 
-def analyse(docs: DataFrame, *, context_limit: int = CONTEXT_LIMIT, safety_ratio: float = SAFETY_RATIO, candidate_threshold: float = CANDIDATE_THRESHOLD, keep=None) -> Analysis:
+def analyse(docs: DataFrame, *, context_limit: int = CONTEXT_LIMIT, safety_ratio: float = SAFETY_RATIO, candidate_threshold: float = CANDIDATE_THRESHOLD, keep=stored) -> Analysis:
     """Analyse ``doc_id, text``.
 
-    keep: what to do with tables that several later ones read, for instance ``DataFrame.persist`` or a writer of
-    checkpoints; by default Spark reuses what exchanges it can.
+    keep: what to do with tables that several later ones read. Sections, units, edges, members and family units are
+    each read by three tables or more, so by default they are written once to the shared folder; the rest stays lazy.
     """
-    keep = keep or (lambda df: df)
     good, bad = ledger.admit(docs)
-    found = keep(ledger.sections(good))
-    units = keep(ledger.units(found))
+    whole = ledger.sections(good)
+    units = keep(ledger.units(whole))
+    found = keep(whole.drop("body"))
     edges = keep(relate.candidate_edges(units, candidate_threshold))
     members = keep(relate.family_members(edges))
     families, own = relate.families(units, edges, members)
-    families, own = keep(families), keep(own)
-    pairs = relate.family_pairs(members, edges)
+    families = keep(families)
+    own = keep(own)
+    pairs = keep(relate.family_pairs(members, edges))
     scores = planner.centre_scores(own, families)
-    choice = keep(planner.centre_choice(scores))
-    decided = keep(planner.decisions(own, pairs, choice))
+    choice = planner.centre_choice(scores)
+    decided = planner.decisions(own, pairs, choice)
     counts = found.groupBy("doc_id").agg(F.count("*").alias("n_sections")).join(units.groupBy("doc_id").agg(F.count("*").alias("n_units")), "doc_id")
-    planned = keep(planner.plan(families, decided, choice, counts))
+    planned = planner.plan(families, decided, choice, counts)
     plan = ledger.resource_plan(good, found, context_limit=context_limit, safety_ratio=safety_ratio)
     return Analysis(good, bad, found, units, edges, members, families, own, pairs, scores, choice, decided, planned, plan)

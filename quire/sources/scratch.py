@@ -13,3 +13,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{gettempdir()}/quire-checkpoints")
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: a short plan, column pruning for its several readers,
+    and nothing to compute again when an executor is lost."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        from tempfile import gettempdir
+
+        root = f"file://{gettempdir()}/quire-checkpoints"
+    path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
