@@ -40,6 +40,12 @@ class _Places(dict):
         return value
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ids that start at starts, one after the other."""
+    ends = np.cumsum(counts)
+    return ids[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which sees a space-led piece once as long as the table holds it.
 
@@ -52,7 +58,7 @@ class PieceEncoder:
 
     STOPS = ".,;:!?"
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000):
+    def __init__(self, tokenizer_json: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
@@ -80,7 +86,7 @@ class PieceEncoder:
         pieces = [p for p, own in zip(places, stay.tolist()) if own]
         old = np.nonzero(stay)[0]
         held = counts[old]
-        flat = ids[np.repeat(starts[old] - (np.cumsum(held) - held), held) + np.arange(held.sum())]
+        flat = _gather(ids, starts[old], held)
         self._empty()
         self.places.update(zip(pieces, range(len(pieces))))
         self._put(np.arange(len(pieces)), flat, held)
@@ -138,13 +144,15 @@ class PieceEncoder:
         if odd:
             self._put(np.asarray([places[p] for p in odd]), np.empty(0, "<u4"), np.full(len(odd), -1))
         if stopped:
-            runs = list({r for *_, r in stopped})
-            after = dict(zip(runs, self._whole(runs)))
-            made = []
-            for _, stem, run in stopped:
-                k = places[stem]
-                made.append(np.concatenate([self.ids[self.starts[k] : self.starts[k] + self.counts[k]], after[run]]))
-            self._put(np.asarray([places[p] for p, *_ in stopped]), np.concatenate(made), np.asarray([len(x) for x in made]))
+            runs = {r: i for i, r in enumerate({r for *_, r in stopped})}
+            after = self._whole(list(runs))
+            size = np.asarray([len(x) for x in after])
+            pool = np.concatenate([self.ids[: self.used], *after])
+            stem = np.fromiter((places[s] for _, s, _ in stopped), np.int64, len(stopped))
+            run = np.fromiter((runs[r] for *_, r in stopped), np.int64, len(stopped))
+            counts = np.stack([self.counts[stem], size[run]], 1)
+            starts = np.stack([self.starts[stem], (self.used + np.cumsum(size) - size)[run]], 1).ravel()
+            self._put(np.fromiter((places[p] for p, *_ in stopped), np.int64, len(stopped)), _gather(pool, starts, counts.ravel()), counts.sum(1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -165,7 +173,7 @@ class PieceEncoder:
         apart = [x is not None and bool(x[0]) and not x[0][-1].isspace() and odd[a] == odd[b] for x, a, b in zip(split, ends, ends[1:])]
         counts = np.maximum(counts, 0)
         upto = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
+        ids = _gather(self.ids, self.starts[at], counts)
         firsts = iter(self._whole([x[0] for x, own in zip(split, apart) if own]))
         whole = iter(self._whole([t for t, own in zip(texts, apart) if not own]))
         return [np.concatenate([next(firsts), ids[upto[a] : upto[b]]]) if own else next(whole) for own, a, b in zip(apart, ends, ends[1:])]
