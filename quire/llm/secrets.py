@@ -58,8 +58,10 @@ def labelled_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n = spark.range(strings).select(F.sha2(F.concat(F.lit("random "), F.col("id")), 512).alias("hex"))
     raw = F.regexp_replace(F.base64(F.unhex("hex")), "=+$", "")
     random = n.select(F.explode(F.array(F.substring("hex", 1, 40), F.substring(raw, 1, 40), F.upper(F.substring(raw, 41, 24)))).alias("sample"))
+    # ids alone are sorted; the texts of the chosen ones, at most ``sample_docs``, are fetched afterwards
+    chosen = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(29), "id"), "id").limit(sample_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    taken = rows.orderBy(F.xxhash64(F.lit(29), "id"), "id", F.xxhash64("text")).limit(sample_docs)
+    taken = rows.join(F.broadcast(chosen), "id")
     words = taken.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("sample"))
     words = words.filter(~F.regexp_like("sample", F.lit(f"[0-9]|{ACCESS}")) & (F.length("sample") < 100))
     return random.withColumn("label", F.lit(1)).union(words.withColumn("label", F.lit(0)))
