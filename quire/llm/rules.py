@@ -14,14 +14,14 @@ from pyspark.sql import types as T
 from .common import BLANKS, HashCache, gram_hashes, materialise
 
 SYMBOLS = "#*$%&|<>"
-#: rule -> its measure, a ratio of the counts below. A text fails a rule if its measure is above the cutoff.
+#: rule -> its measure, a ratio of the counts below (0 for empty texts). A text fails a rule if its measure is above the cutoff.
 RULES = {
-    "long_words": "word_chars / n_words",
-    "symbols": "n_symbols / n_chars",
-    "duplicate_lines": "n_dup_lines / n_lines",
-    "repeated_words": "n_repeat_words / n_words",
-    "capitals": "n_upper / n_chars",
-    "shouts": "n_shouts / n_words",
+    "long_words": "try_divide(word_chars, n_words)",
+    "symbols": "try_divide(n_symbols, n_chars)",
+    "duplicate_lines": "try_divide(n_dup_lines, n_lines)",
+    "repeated_words": "try_divide(n_repeat_words, n_words)",
+    "capitals": "try_divide(n_upper, n_chars)",
+    "shouts": "try_divide(n_shouts, n_words)",
 }
 #: Possible cutoffs, the same for every corpus; the last bin of each rule rejects nothing.
 GRID = {
