@@ -137,10 +137,13 @@ def proposals(messages: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def _all_true(checks: Column, names: list[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & F.forall(checks, lambda c, n=n: F.coalesce(c[n], F.lit(False)))
-    return out
+    def sound(c: Column) -> Column:
+        out = F.lit(True)
+        for n in names:
+            out = out & F.coalesce(c[n], F.lit(False))
+        return out
+
+    return F.forall(checks, sound)
 
 
 def verifications(messages: DataFrame, context: DataFrame) -> DataFrame:
