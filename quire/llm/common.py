@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +114,15 @@ def worker_state(key: str, make):
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch while an action over whole texts runs: less memory beside a worker's tables."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

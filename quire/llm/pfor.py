@@ -33,15 +33,26 @@ def _width(offsets: np.ndarray, percentile: float) -> int:
     return int(np.partition(offsets, k)[k]).bit_length()
 
 
+def _kind(width: int) -> tuple[str, int]:
+    """Narrowest of the integer types that hold the width, and its bytes."""
+    return ("<u2", 2) if width <= 16 else ("<u4", 4)
+
+
 def _pack(offsets: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(offsets.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    kind, size = _kind(width)
+    if width == 8 * size:  # whole bytes are packed as they are
+        return offsets.astype(kind).tobytes()
+    bits = np.unpackbits(offsets.astype(kind).view(np.uint8).reshape(-1, size), axis=1, bitorder="little")
     return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def _unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
+    kind, size = _kind(width)
+    if width == 8 * size:
+        return np.frombuffer(data, kind, n).astype("<u4")
+    bits = np.zeros((n, 8 * size), np.uint8)
     bits[:, :width] = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.packbits(bits, axis=1, bitorder="little").view(kind).reshape(-1).astype("<u4")
 
 
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, scratch_path, worker_state
+from .common import materialise, scratch_path, small_batches, worker_state
 from .pfor import chunks as chunks_of
 from .pfor import encode_chunk
 
@@ -58,13 +58,15 @@ class PieceEncoder:
 
     STOPS = ".,;:!?"
 
-    def __init__(self, tokenizer_json: str, most: int = 500_000):
+    def __init__(self, tokenizer_json: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # its own table of words is no use beside this one
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -77,6 +79,14 @@ class PieceEncoder:
         self.ids, self.used = np.empty(1 << 16, "<u4"), 0
         self.starts, self.counts = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.met = np.empty(0, np.int64)
+        self.hot: dict[str, int] = {}
+        self.turns = 0
+
+    def _warm(self, most: int = 16_384) -> None:
+        """A small table of the commonest pieces: it stays in a core's cache and answers most look-ups."""
+        keys = list(self.places)
+        top = np.argpartition(self.met, len(keys) - most)[len(keys) - most :] if len(keys) > most else range(len(keys))
+        self.hot = {keys[i]: int(i) for i in top}
 
     def _shrink(self) -> None:
         """Keep the pieces that were met most often, at most half of the table."""
@@ -109,15 +119,15 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str], at: np.ndarray) -> None:
         """Encode pieces without white space at their ends and put them in their places."""
-        for i in range(0, len(pieces), 2048):
-            part = pieces[i : i + 2048]
+        for i in range(0, len(pieces), 256):
+            part = pieces[i : i + 256]
             ids = self._whole([" " + " ".join(part)])[0]
             starts = np.nonzero(self.leads[ids])[0]
             if len(starts) == len(part):
-                self._put(at[i : i + 2048], ids, np.diff(starts, append=len(ids)))
+                self._put(at[i : i + 256], ids, np.diff(starts, append=len(ids)))
             else:  # not a vocabulary of this kind
                 found = self._whole([" " + p for p in part])
-                self._put(at[i : i + 2048], np.concatenate(found), np.asarray([len(x) for x in found]))
+                self._put(at[i : i + 256], np.concatenate(found), np.asarray([len(x) for x in found]))
 
     def _settle(self) -> None:
         """Give every new piece its ids. New pieces have the last places, in order."""
@@ -161,11 +171,16 @@ class PieceEncoder:
         split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
         lengths = [len(x) - 1 if x else 0 for x in split]
         flat = [p for x in split if x for p in x[1:]]
-        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.hot.get, flat, repeat(-1)), np.int64, len(flat))
+        rare = np.nonzero(at < 0)[0]
+        at[rare] = np.fromiter(map(self.places.__getitem__, [flat[i] for i in rare.tolist()]), np.int64, len(rare))
         self._settle()
         met = np.bincount(at, minlength=len(self.places))
         met[: len(self.met)] += self.met
         self.met = met
+        self.turns += 1
+        if self.turns in (2, 8) or self.turns % 32 == 0:
+            self._warm()
         counts = self.counts[at]
         ends = np.cumsum([0, *lengths])
         # a text is encoded by pieces if none of them is odd
@@ -225,8 +240,9 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         run = _encoder(f.read(), end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    chunks = rows.mapInArrow(run, "chunk binary")
-    chunks.select(F.col("chunk").cast("string").alias("value")).write.option("maxRecordsPerFile", CHUNKS_A_FILE).text(path)
+    chunks = rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        chunks.write.option("maxRecordsPerFile", CHUNKS_A_FILE).text(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
