@@ -25,16 +25,17 @@ def sections(docs: DataFrame) -> DataFrame:
     """``doc_id, sec_ord, section_id, title, level, start, body`` in document order; body is the raw text.
 
     Headings part the text; what stands before the first is a preamble unless blank, and a text without headings is
-    one section. The pieces between headings and the headings alternate, so running lengths give the places: a
-    narrow transformation, no shuffle.
+    one section. The pieces between headings and the headings alternate, so running lengths give the places. Texts
+    are dealt by doc_id once, before the costly expressions; the windows here and in ``units`` follow that key.
     """
-    text = F.col("text")
-    marks = F.regexp_extract_all(text, F.lit(T.HEADING), F.lit(1))
-    titles = F.regexp_extract_all(text, F.lit(T.HEADING), F.lit(2))
-    whole = F.regexp_extract_all(text, F.lit(T.HEADING), F.lit(0))
-    cut = docs.select("doc_id", F.split(text, T.HEADING, -1).alias("bodies"), F.concat(F.array(F.lit("")), whole).alias("heads"), marks.alias("marks"), titles.alias("titles"))
-    rows = cut.select("doc_id", F.size("marks").alias("n"), "marks", "titles", F.posexplode(F.arrays_zip("heads", "bodies")).alias("k", "x"))
-    rows = rows.select("doc_id", "n", "k", F.get("marks", F.col("k") - 1).alias("mark"), F.get("titles", F.col("k") - 1).alias("title"), F.length("x.heads").alias("head"), F.col("x.bodies").alias("body"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", "text").repartition(n, "doc_id")
+    heads = F.regexp_extract_all("text", F.lit(T.HEADING), F.lit(0))
+    cut = dealt.select("doc_id", F.split("text", T.HEADING, -1).alias("bodies"), F.concat(F.array(F.lit("")), heads).alias("heads"))
+    rows = cut.select("doc_id", (F.size("heads") - 1).alias("n"), F.posexplode(F.arrays_zip("heads", "bodies")).alias("k", "x"))
+    rows = rows.select(
+        "doc_id", "n", "k", F.regexp_extract("x.heads", T.HEADING, 1).alias("mark"), F.regexp_extract("x.heads", T.HEADING, 2).alias("title"), F.length("x.heads").alias("head"), F.col("x.bodies").alias("body")
+    )
     upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("start", F.sum(F.col("head") + F.length("body")).over(upto) - F.length("body"))
     rows = rows.filter("k > 0 OR n = 0").union(rows.filter("k = 0 AND n > 0").filter(T.strip(F.col("body")) != ""))
