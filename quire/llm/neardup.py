@@ -154,6 +154,94 @@ def _agreeing(least: float) -> Callable:
     return run
 
 
+def _spanning(ids: np.ndarray, n: np.ndarray, sigs: np.ndarray, least: float, percent: int) -> list[tuple[int, int]]:
+    """(id, least linked id) of the rows of a block that agreeing signatures join; every pair is looked at."""
+    m, need = len(ids), least * sigs.shape[1]
+    root = np.arange(m)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    columns, step = np.ascontiguousarray(sigs.T), max(1, 4_000_000 // m)
+    for at in range(0, m, step):
+        end = min(m, at + step)
+        same = np.zeros((end - at, m), np.int16)
+        if m <= 64:
+            same += (sigs[at:end, None, :] == sigs[None, :, :]).sum(2, dtype=np.int16)
+        else:
+            for c in columns:
+                same += c[at:end, None] == c[None, :]
+        near = (same >= need) & (100 * np.minimum(n[at:end, None], n[None, :]) >= percent * np.maximum(n[at:end, None], n[None, :]))
+        for i, j in zip(*np.nonzero(near)):
+            if i + at < j and (a := find(i + at)) != (b := find(j)):
+                a, b = (a, b) if ids[a] <= ids[b] else (b, a)
+                root[b] = a
+    return [(int(ids[i]), int(ids[r])) for i in range(m) if ids[r := find(i)] != ids[i]]
+
+
+def _crowd_links(least: float, percent: int) -> Callable:
+    """Over rows (tree, prefix, bi, bj, id, n, loose, low) grouped by block: a spanning forest of the near rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> list[tuple[int, int]]:
+            if len({r[2] for r in rows}) < 2:
+                return []  # one loose cluster already
+            ids, n = (np.asarray([r[i] for r in rows], np.int64) for i in (0, 1))
+            return _spanning(ids, n, np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1), least, percent)
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for tree, prefix, bi, bj, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (tree, prefix, bi, bj) != key:
+                    found += done()
+                    key, rows = (tree, prefix, bi, bj), []
+                rows.append(row)
+            yield out(found)
+        yield out(done())
+
+    return run
+
+
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lowest byte of each signature value: equal values have equal bytes."""
+    for batch in batches:
+        low = [np.frombuffer(x, np.uint8)[3::4].tobytes() for x in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(low, pa.binary()), batch.column(4)], ["id", "n", "loose", "low", "heads"])
+
+
+def _meet(table: DataFrame, *key: str) -> DataFrame:
+    """A row of every pair of its group's ``blocks`` that its own block is in, as bi <= bj."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    paired = table.withColumn("own", own).withColumn("other", F.explode(meets))
+    paired = paired.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+    return paired.repartition(*key, "bi", "bj").sortWithinPartitions(*key, "bi", "bj", "id")
+
+
+def _crowds(classes: DataFrame, loose: DataFrame, trees: int, depth: int, least: float, percent: int) -> DataFrame:
+    """Links of rows that share ``MIN_DEPTH`` leading values with more rows than the look-back reaches.
+
+    Every group of such rows that is not one loose cluster already is scanned whole, in pairs of blocks.
+    """
+    head = f"transform(sequence(0, {trees - 1}), t -> substring(sig, t * {4 * depth} + 1, {4 * MIN_DEPTH}))"
+    tagged = classes.join(loose.select("id", F.col("component").alias("loose")), "id", "left").select("id", "n", F.coalesce("loose", "id").alias("loose"), "sig", F.expr(head).alias("heads"))
+    keys = tagged.select("id", "loose", F.posexplode("heads").alias("tree", "prefix"))
+    groups = keys.groupBy("tree", "prefix").agg(F.count("*").alias("docs"), F.min("loose").alias("x"), F.max("loose").alias("y")).filter(f"docs > {LOOK_BACK + 1} AND x <> y")
+    groups = materialise(groups.select("tree", "prefix", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks")), "crowds")
+    low = tagged.mapInArrow(_low_bytes, "id long, n long, loose long, low binary, heads array<binary>")
+    members = low.select("id", "n", "loose", "low", F.posexplode("heads").alias("tree", "prefix")).join(groups, ["tree", "prefix"])
+    rows = _meet(members, "tree", "prefix").select("tree", "prefix", "bi", "bj", "id", "n", "loose", "low")
+    return rows.mapInArrow(_crowd_links(least, percent), "a long, b long").distinct()
+
+
 def _set_maker(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -254,8 +342,9 @@ def near_duplicates(
        deepest. A pair at 0.85 shares three values in a given tree with probability 0.61, so it is apart in all
        24 with probability 1e-10 (at 0.80: 3e-8). Candidates grow with the rows, never with a group's square.
     3. Candidates whose whole signatures agree within ``SIGMAS`` standard deviations of the threshold tie classes
-       into loose clusters. Looking back over few rows loses pairs, but not clusters: in a crowded region the rows
-       between are similar themselves.
+       into loose clusters. Where more rows share the leading values than the look-back reaches, those between need
+       not be similar: every such group that is not one loose cluster already is scanned whole, each pair by a byte
+       of every signature value (equal values always pass), in pairs of blocks that return a spanning forest.
     4. Every pair inside a loose cluster is then held to the exact test on full sets: this is what makes the result
        whole. A cluster is cut into blocks of at most 1,024 documents or two million shingles; each pair of blocks is
        a task of its own that counts all intersections from the block's postings and returns a spanning forest, at
@@ -278,7 +367,9 @@ def near_duplicates(
     left = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     signed = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    clusters = components(signed.mapInArrow(_agreeing(least), "a long, b long"))
+    loose = materialise(components(signed.mapInArrow(_agreeing(least), "a long, b long")), "loose")
+    crowded = _crowds(classes, loose, trees, depth, least, percent)
+    clusters = components(loose.select(F.col("id").alias("a"), F.col("component").alias("b")).union(crowded))
     clusters = materialise(clusters.select("id", F.col("component").alias("cluster")), "clusters")
 
     sized = clusters.join(classes.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
@@ -286,11 +377,7 @@ def near_duplicates(
     members = clusters.join(sized.select("cluster", blocks.alias("blocks")), "cluster")
     texts = rows.join(members.hint("shuffle_hash"), "id").select("cluster", "id", "blocks", "text")
     sets = texts.mapInArrow(_set_maker(shingle), "cluster long, id long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
-    paired = sets.withColumn("own", own).withColumn("other", F.explode(meets))
-    paired = paired.select("cluster", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "shingles")
-    paired = paired.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "id")
+    paired = _meet(sets, "cluster").select("cluster", "bi", "bj", "id", "shingles")
     links = paired.mapInArrow(_block_links(percent), "a long, b long")
     joined = components(links)
 

@@ -49,6 +49,18 @@ def test_crowded_group_is_whole(spark):
     assert Counter(c for _, c in got.values())[0] == 100
 
 
+def test_near_copies_in_a_crowd_are_found(spark, monkeypatch):
+    """Two near copies of a passage that many longer texts hold, with those between them in every order."""
+    import quire.llm.neardup as op
+
+    monkeypatch.setattr(op, "BLOCK_DOCS", 256)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(0, f"{passage} a0 a1 a2"), (100_000, f"{passage} b0 b1 b2")]
+    rows += [(1 + i, f"{passage} " + " ".join(f"c{i}_{j}" for j in range(20))) for i in range(700)]
+    got = as_rows(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_components(rows, 85) and got[100_000][1] == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501), (7, 7)], "a long, b long"))
     found = {r.id: r.component for r in components(edges).collect()}
