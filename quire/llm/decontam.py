@@ -30,8 +30,13 @@ _NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 )
+#: A number with its unit attached: up to three letters, or a longer word of UNITS.
+_ATTACHED = re.compile(r"(\W*\d[\d.,/:]*)([^\W\d_]+)(\W*)")
+_ORDINALS = frozenset("st nd rd th".split())
 _EDGES = "\"'`.,;:!?()[]{}<>*_|-–—…“”‘’«»¿¡&#%$~/\\"
-LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: START: a capitalised word that starts a sentence or line, a name or not.
+LITERAL, NUMBER, NAME, UNIT, START = 0, 1, 2, 3, 4
+_DIGITS = "0123456789"
 _PLACEHOLDER = {NUMBER: 0x6E756D, NAME: 0x6E616D, UNIT: 0x756E69}
 
 
@@ -47,23 +52,35 @@ class Canon(dict):
 
         if len(self) >= self.most:
             self.clear()
+        attached, word = word[0] == "\0", word.lstrip("\0")
         core = word.strip(_EDGES) or word
         low = core.lower()
         plain = xxhash.xxh64_intdigest(low)
-        ends = word[-1:] in ".!?:" or word[-2:-1] in ".!?"
-        if _NUMBER.fullmatch(word.strip("\"'()[]{};:,.!?")) or _NUMBER.fullmatch(core) or low in _NUMBER_WORDS:
+        ends = word[-1:] in (*".!?:",) or word[-2:-1] in (*".!?",)
+        if attached:
+            kinds = (UNIT, UNIT)
+        elif _NUMBER.fullmatch(word.strip("\"'()[]{};:,.!?")) or _NUMBER.fullmatch(core) or low in _NUMBER_WORDS:
             kinds = (NUMBER, NUMBER)
         elif low in UNITS:
             kinds = (UNIT, UNIT)
         else:
-            kinds = (LITERAL, NAME if core[:1].isupper() and core[1:].islower() else LITERAL)
-        value = self[word] = (kinds[0], kinds[1], plain, ends)
+            kinds = (START, NAME) if core[:1].isupper() and core[1:].islower() else (LITERAL, LITERAL)
+        value = self["\0" + word if attached else word] = (kinds[0], kinds[1], plain, ends)
         return value
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, kinds, template hashes, and hashes of the words themselves.
-
-        A capitalised word is a name unless a sentence or line starts with it.
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """A number and its attached unit, which a NUL marks, or the word itself."""
+        m = _ATTACHED.fullmatch(word)
+        if not m or m[2].lower() in _ORDINALS or len(m[2]) > 3 and m[2].lower() not in UNITS:
+            return (word,)
+        return m[1], "\0" + m[2] + m[3]
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its word's place, its kind, its template hash and its own hash.
+
+        Tokens are words, or a number and the unit attached to it. A capitalised word is a name unless a sentence or
+        line starts with it; there the template has the word itself.
         """
         words: list[str] = []
         starts: list[int] = []
@@ -71,28 +88,58 @@ class Canon(dict):
             starts.append(len(words))
             words += line.split()
         if not words:
-            return words, *(np.empty(0, t) for t in (np.int8, np.uint64, np.uint64))
+            return tuple(np.empty(0, t) for t in (np.int64, np.int8, np.uint64, np.uint64))
+        place, begins = np.arange(len(words)), np.asarray(starts)
+        if glued := [i for i, w in enumerate(words) if w[-1] not in _DIGITS and not w[0].isalpha() and len(self._parts(w)) > 1]:
+            begins = begins + np.searchsorted(glued, begins)
+            tokens: list[str] = []
+            done = 0
+            for i in glued:
+                tokens += words[done:i]
+                tokens += self._parts(words[i])
+                done = i + 1
+            words, place = tokens + words[done:], np.sort(np.concatenate([place, np.asarray(glued)]))
         at_start, elsewhere, plain, ends = zip(*map(self.__getitem__, words))
         first = np.zeros(len(words) + 1, bool)
         first[1:] = ends
-        first[starts] = True
+        first[begins] = True
         kind = np.where(first[:-1], np.asarray(at_start, np.int8), np.asarray(elsewhere, np.int8))
         hashes = np.asarray(plain, np.uint64)
         template = hashes.copy()
         for k, mark in _PLACEHOLDER.items():
             template[kind == k] = mark
-        return words, kind, template, hashes
+        return place, kind, template, hashes
+
 
+def _named(kind: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """The template with capitalised words at starts as names, too."""
+    return np.where(kind == START, np.uint64(_PLACEHOLDER[NAME]), template)
 
-def _slots_agree(kinds: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> bool:
-    """Whether each name, number or unit of the item always stands for the same one in the text, and back."""
-    slots = (kinds != LITERAL) | (mine != theirs)
-    forth: dict[int, int] = {}
-    back: dict[int, int] = {}
-    for a, b in zip(theirs[slots].tolist(), mine[slots].tolist()):
-        if forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return False
-    return True
+
+def _consistent(slots: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The longest stretches in which each slot value of the item always stands for the same one in the text, and back.
+
+    Word-for-word stretches are among or inside them. They may overlap: a run is cut on either side of a clash.
+    """
+    forth: dict[int, list[int]] = {}  # value -> [its counterpart, how often in the stretch]
+    back: dict[int, list[int]] = {}
+    places = np.nonzero(slots)[0].tolist()
+    pairs = list(zip(theirs[slots].tolist(), mine[slots].tolist()))
+    start = left = 0
+    for at, (a, b) in zip(places, pairs):
+        fits = lambda: forth.get(a, (b,))[0] == b and back.get(b, (a,))[0] == a
+        if not fits():
+            yield start, at
+            while not fits():
+                for table, key in zip((forth, back), pairs[left]):
+                    table[key][1] -= 1
+                    if not table[key][1]:
+                        del table[key]
+                start = places[left] + 1
+                left += 1
+        forth.setdefault(a, [b, 0])[1] += 1
+        back.setdefault(b, [a, 0])[1] += 1
+    yield start, len(mine)
 
 
 class _Finder:
@@ -100,14 +147,19 @@ class _Finder:
 
     def __init__(self, items: list[tuple[int, str]], window: int, least: int):
         self.window, self.least, self.canon = window, least, Canon()
-        self.parsed = [(item, *self.canon.of(text)[1:]) for item, text in items]
+        self.parsed = [(item, *self.canon.of(text)) for item, text in items]
         keys, self.where = [np.empty(0, np.uint64)], []
-        for i, (_, kind, template, _) in enumerate(self.parsed):
-            if len(template) < window:
+        for i, (_, place, kind, template, own) in enumerate(self.parsed):
+            if not len(place) or place[-1] + 1 < window:
                 continue  # too short to tell anything
-            plain = np.convolve(kind == LITERAL, np.ones(window, int), "valid") >= LITERALS
-            self.where += [(i, at) for at in np.nonzero(plain)[0].tolist()]
-            keys.append(gram_hashes(template, window)[plain])
+            plain = np.convolve((kind == LITERAL) | (kind == START), np.ones(window, int), "valid") >= LITERALS
+            seen = set()
+            for found, kept in ((template, plain), (_named(kind, template), plain), (own, np.ones(len(plain), bool))):
+                for at, key in zip(np.nonzero(kept)[0].tolist(), gram_hashes(found, window)[kept].tolist()):
+                    if (at, key) not in seen:
+                        seen.add((at, key))
+                        self.where.append((i, at))
+                        keys.append(np.asarray([key], np.uint64))
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         self.keys, self.where = keys[order], [self.where[i] for i in order.tolist()]
@@ -121,30 +173,39 @@ class _Finder:
 
     def passages(self, text: str) -> Iterator[tuple]:
         """(item, first word here, first word there, words, coverage, changed slots)."""
-        _, kind, template, plain = self.canon.of(text)
-        grams = gram_hashes(template, self.window)
-        maybe = np.nonzero(self.sieve[self._low(grams)])[0]
-        if not len(maybe):
+        place, kind, template, plain = self.canon.of(text)
+        grams = np.stack([gram_hashes(x, self.window) for x in (template, _named(kind, template), plain)])
+        at, which = np.nonzero(self.sieve[self._low(grams)].T)
+        if not len(at):
             return
-        lo, hi = (np.searchsorted(self.keys, grams[maybe], side).tolist() for side in ("left", "right"))
+        found = grams[which, at]
+        lo, hi = (np.searchsorted(self.keys, found, side).tolist() for side in ("left", "right"))
+        caps = (kind == NAME) | (kind == START)
         done: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the run that was looked at
-        for at, a, b in zip(maybe.tolist(), lo, hi):
+        for at, a, b in zip(at.tolist(), lo, hi):
             for i, there in self.where[a:b]:
                 if done.get((i, at - there), -1) > at:
                     continue
-                item, _, t, p = self.parsed[i]
+                item, places, kinds, t, p = self.parsed[i]
                 k = min(at, there)
                 n = min(len(template) - at, len(t) - there) + k
                 x, y = slice(at - k, at - k + n), slice(there - k, there - k + n)
-                equal = np.concatenate([[False], (template[x] == t[y]) | (plain[x] == p[y]), [False]])
+                named = caps[x] & ((kinds[y] == NAME) | (kinds[y] == START))
+                equal = np.concatenate([[False], (template[x] == t[y]) | (plain[x] == p[y]) | named, [False]])
                 breaks = np.nonzero(~equal)[0]
                 end = int(breaks[np.searchsorted(breaks, k + 1)]) - 1
                 start = int(breaks[np.searchsorted(breaks, k + 1) - 1])
                 first, theirs, length = at - k + start, there - k + start, end - start
-                done[i, at - there] = first + length
+                done[i, at - there] = max(first + length, at + 1)
                 mine, other = plain[first : first + length], p[theirs : theirs + length]
-                if length >= min(self.least, len(t)) and _slots_agree(kind[first : first + length], mine, other):
-                    yield item, first, theirs, length, length / len(t), int((mine != other).sum())
+                slots = (kind[first : first + length] != LITERAL) | (mine != other)
+                total = int(places[-1]) + 1
+                for u, v in _consistent(slots, mine, other):
+                    if v <= u:
+                        continue
+                    words = int(places[theirs + v - 1] - places[theirs + u]) + 1
+                    if words >= min(self.least, total):
+                        yield item, int(place[first + u]), int(places[theirs + u]), words, words / total, int((mine != other)[u:v].sum())
 
 
 def _passages(items: list[tuple[int, str]], window: int, least: int) -> Callable:
@@ -166,10 +227,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """Passages of texts that repeat a benchmark item, word for word or with other names, numbers and units.
 
     Both sides become templates: numbers, units and names (capitalised words inside a sentence) turn into typed
-    placeholders, other words lose their case and outer punctuation. Windows of ``window`` template words with at
-    least five plain ones are hash-joined; a match is extended as far as both templates agree. A passage counts if it
-    runs over ``least_words`` words, or the whole of a shorter item, and its slots agree: one value of the item
-    always stands for one value of the text, and back. Items under ``window`` words can't be told apart and match
+    placeholders, other words lose their case and outer punctuation, and a unit attached to a number is a word of its
+    own. A capitalised word that starts a sentence may be a name or not: both readings are tried. Windows of
+    ``window`` template words with at least five plain ones, and all windows of the words themselves, are hash-joined;
+    a match is extended as far as both templates agree, and cut where its slots clash: one value of the item always
+    stands for one value of the text, and back. A passage, the longest stretch without a clash, counts if it runs
+    over ``least_words`` words, or the whole of a shorter item. Passages on two sides of a clash may overlap. Items under ``window`` words can't be told apart and match
     nothing.
 
     Returns a row for each passage: ``doc_id, item_id``, its first word on both sides, its length, the share of the

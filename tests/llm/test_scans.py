@@ -113,3 +113,35 @@ def test_licenses_of_odd_rows(odd, none):
 def test_license_lines_of_the_corpus(spark, tiny):
     docs = {r.doc_id for r in spark.read.parquet(f"{tiny}/documents.parquet").filter(F.col("text").rlike("(?i)licensed under|released under")).collect()}
     assert docs == {r.doc_id for r in licenses.op4_license_scan(spark, tiny).filter("n_spans > 0").collect()}
+
+
+NAMED = "Tom has 12 apples and 5 pears. Tom gives 3 apples to Ann. How many apples does Tom have now?"
+LONG_ITEM = " ".join(f"{'12' if i in (9, 40) else 'red%d' % i}" for i in range(59))
+DENSE = "Solve 12 + 7 - 3 = 16 and 4 * 9 = 36 then 5 + 8"
+GLUED = "A bag of 5kg rice costs 12 dollars at 10am and a second bag of 7kg costs more than 3x that price"
+
+
+@pytest.mark.parametrize(
+    "item, text, least",
+    [
+        (NAMED, NAMED.replace("Tom", "Maria").replace("Ann", "Bob").replace("12", "15"), 20),  # names at sentence starts
+        (NAMED.replace("Tom has", "A Tom has"), NAMED.replace("Tom has", "A Tom has").replace("Tom", "Maria"), 21),  # a name after one character
+        (LONG_ITEM, LONG_ITEM.replace("12", "13", 1), 49),  # one of two equal numbers changed
+        (DENSE, f"so {DENSE} yes", 18),  # few plain words
+        (GLUED, GLUED.replace("5kg", "6kg").replace("10am", "11pm").replace("7kg", "9kg").replace("3x", "4x"), 22),  # attached units
+        (GLUED, GLUED.replace("5kg", "5 kg").replace("7kg", "7 kg"), 22),
+    ],
+)
+def test_leaks_with_names_clashes_and_units(item, text, least):
+    found = list(decontam._Finder([(1, item)], 8, 13).passages(text))
+    assert found and max(x[3] for x in found) == least and all(x[4] <= 1 for x in found)
+
+
+def test_clashing_slots_cut_a_run():
+    """Names that stand for two names are cut apart; a text that shares no 13 consistent words holds nothing."""
+    assert not list(decontam._Finder([(1, NAMED)], 8, 13).passages("Maria" + " ".join(NAMED.split()[:13])[3:]))
+    for u, v, mine in ((0, 4, [1, 2, 3, 4]), (0, 2, [1, 2, 1, 5])):
+        import numpy as np
+
+        theirs = np.asarray([1, 2, 3, 4])
+        assert next(decontam._consistent(np.ones(4, bool), np.asarray(mine), theirs)) == (u, v)
