@@ -23,6 +23,9 @@ RANDOM_STRINGS, SAMPLE_DOCS = 2000, 2000
 LEAST_RATIO = math.log(1e6)
 #: And the least for each character: rare pairs add up in long ordinary identifiers, but thinly.
 LEAST_EACH = 0.8
+LEAST_LENGTH = 20
+#: A stretch of a run's pieces ends where its sum falls by more than this below its best.
+DIP = 5 * LEAST_EACH
 #: Added to each count of a pair of characters.
 PRIOR = 0.5
 _CODES = 128
@@ -96,13 +99,52 @@ def ratio(token: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, which stand in order of start and may overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        begin, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, rest))
+
+
+def parts_of(run: Column, table: Column) -> Column:
+    """array<start, end> within a run: stretches of its pieces between + / _ = - that the models take for random.
+
+    The sum of ratio less ``LEAST_EACH`` a character runs along the pieces. It starts anew after it falls under zero
+    or by more than ``DIP`` below its best; each stretch goes as far as its best sum.
+    """
+    excess = lambda x: ratio(x, table) - LEAST_EACH * F.length(x)
+    pieces = F.regexp_extract_all(run, F.lit("[+/_=-]*[A-Za-z0-9]+"), F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    state = lambda at, start, total, best, end, spans: F.struct(at.alias("at"), start.alias("start"), total.alias("total"), best.alias("best"), end.alias("end"), spans.alias("spans"))
+    kept = lambda acc: F.when(acc["best"] > 0, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])
+
+    def add(acc: Column, x: Column) -> Column:
+        core = F.regexp_extract(x, "[A-Za-z0-9]+", 0)
+        end = acc["at"] + F.length(x)
+        joined = acc["total"] + excess(F.concat(F.substring(run, F.greatest(acc["at"], F.lit(1)), F.lit(1)), x)) + LEAST_EACH
+        alone = excess(core)
+        goes_on = (acc["best"] > 0) & (joined > 0) & (joined >= acc["best"] - DIP)
+        fresh = state(end, end - F.length(core), alone, F.greatest(alone, F.lit(0.0)), end, kept(acc))
+        more = state(end, acc["start"], joined, F.greatest(acc["best"], joined), F.when(joined > acc["best"], end).otherwise(acc["end"]), acc["spans"])
+        return F.when(goes_on, more).otherwise(fresh)
+
+    zero = F.lit(0.0)
+    return F.aggregate(pieces, state(F.lit(0), F.lit(0), zero, zero, F.lit(0), none), add, kept)
+
+
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """Secrets in every whole text: ``doc_id, spans``, an array of ``start, end, rank, kind, match``.
 
     Base spans are the leftmost matches per kind that don't overlap: assignments whose value has at least 8
     characters, access keys and hex runs. The models add spans of kind "markov": strings of at least 20 characters
     whose log-likelihood under the chain of random strings exceeds that under the chain of ordinary identifiers by
-    ``least_ratio`` and by 0.8 a character, unless a base span overlaps them. Places are code points, ends exclusive; spans stand in order of
+    ``least_ratio`` and by 0.8 a character, in what the base spans leave of the text. Where a whole run falls short, the
+    stretches of its pieces between + / _ = - are judged in the same way. Places are code points, ends exclusive; spans stand in order of
     start, then kind.
 
     Null text is empty. Null ids and repeated rows are rows of their own. An empty table gives no rows. Other columns
@@ -118,13 +160,20 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.filter(spans_of(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST_VALUE).alias("assign"),
         spans_of(text, ACCESS, "access").alias("access"),
         spans_of(text, HEX, "hex").alias("hex"),
-        spans_of(text, CANDIDATE, "markov").alias("candidates"),
-    )
-    base = found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), "candidates")
-    own = F.filter(
-        "candidates",
-        lambda s: ~F.exists("base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])) & (ratio(s["match"], table) >= F.greatest(F.lit(least_ratio), LEAST_EACH * F.length(s["match"]))),
+        "text",
     )
+    base = found.select("doc_id", "text", F.concat("assign", "access", "hex").alias("base"))
+    base = base.select("doc_id", "base", spans_of(masked(F.col("text"), F.array_sort("base")), CANDIDATE, "markov").alias("candidates"))
+    random = lambda x: (F.length(x) >= LEAST_LENGTH) & (ratio(x, table) >= F.greatest(F.lit(least_ratio), LEAST_EACH * F.length(x)))
+
+    def part(s: Column, x: Column) -> Column:
+        begin = s["start"] + x["start"]
+        return F.struct(begin.alias("start"), (s["start"] + x["end"]).alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind"), F.substring(s["match"], x["start"] + 1, x["end"] - x["start"]).alias("match"))
+
+    def judged(s: Column) -> Column:
+        return F.when(random(s["match"]), F.array(s)).otherwise(F.filter(F.transform(parts_of(s["match"], table), lambda x: part(s, x)), lambda x: random(x["match"])))
+
+    own = F.flatten(F.transform("candidates", judged))
     return base.select("doc_id", F.array_sort(F.concat("base", own)).alias("spans"))
 
 
