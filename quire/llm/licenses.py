@@ -52,6 +52,9 @@ TEMPLATES = {
     "All-rights-reserved": ["Copyright. All rights reserved."],
 }
 COVERAGE = 0.8
+#: Notices with a holder's name and years between their first word and the rest, and the most words of these.
+HOLDERS = frozenset({"All-rights-reserved"})
+HOLDER_WORDS = 25
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -143,6 +146,12 @@ def _scanner(templates: list[tuple[str, str]], coverage: float) -> Callable:
                 slack = max(3, len(template) // 4)
                 lo, hi = max(0, ends.get(k, 0), at - j - slack), at - j + len(template) + slack
                 pairs = align(own[lo:hi].tolist(), template)
+                if name in HOLDERS and j and len(pairs) < coverage * len(template):
+                    # the nearest first word before the seed, then the words of the seed alone
+                    far = max(ends.get(k, 0), at - j - HOLDER_WORDS)
+                    if len(near := far + np.nonzero(own[far:at] == np.uint64(template[0]))[0]):
+                        lo = int(near[-1])
+                        pairs = align(own[lo : at - j + len(template)].tolist(), template)
                 if len(pairs) >= coverage * len(template):
                     ends[k] = lo + pairs[-1][0] + 1
                     found.append((lo + pairs[0][0], ends[k], len(pairs), name, len(pairs) / len(template)))
@@ -167,7 +176,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Runs of three template words seed a window as long as the template and a quarter more on either side; the window
     and the template are aligned by words that are unique in both, recursively. A span counts from ``coverage`` on, so
     other words, line breaks and punctuation inside a notice don't hide it. Of notices that overlap the one with
-    the most aligned words stays.
+    the most aligned words stays. Notices in ``HOLDERS`` may have up to 25 words of names and years after their first.
 
     Null and empty texts have no span. Null ids and repeated rows are rows of their own. An empty table gives no
     rows. Other columns are not read. One pass, no shuffle; the templates travel with the tasks (under 10 KB).

@@ -156,3 +156,10 @@ def test_secrets_inside_paths_and_names(spark, tiny):
     samples = secrets.labelled_sample(spark.read.parquet(f"{tiny}/documents.parquet"))
     out = {r.doc_id: [cases[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "markov"] for r in secrets.find_secrets(df, samples=samples).collect()}
     assert {i: [x.strip("/") for x in found] for i, found in out.items()} == {**dict.fromkeys(range(4), [key]), 4: []}
+
+
+def test_notices_with_holders(spark):
+    one, two = "Copyright (c) 2021 Acme Widgets Inc. All rights reserved.", "Copyright 2001-2024 The Board of Trustees of the Invented University of Somewhere and its many contributors. All rights reserved."
+    rows = [(1, f"{BASE}. {one} {BASE}"), (2, f"{one}\n{two}"), (3, f"Copyright {BASE} {BASE} All rights reserved.")]
+    found = {r.doc_id: [rows[r.doc_id - 1][1][s.start : s.end] for s in r.spans] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [one[:-1]], 2: [one[:-1], two[:-1]], 3: []}
