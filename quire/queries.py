@@ -112,6 +112,12 @@ def anchors_terms(spark, sf_dir):
     return _anchored(spark, sf_dir).select("doc_id", "ord", F.array_join("defined_terms", "|").alias("defined_terms"))
 
 
+def anchors_whole(spark, sf_dir):
+    """Anchors of every unit of the whole original texts; the four queries above read a first line, as their SQL does."""
+    kinds = ("numbers", "quotations", "citations", "defined_terms")
+    return _plain_units(spark, sf_dir).select("doc_id", "ord", *(F.array_join(k, "|").alias(k) for k in kinds))
+
+
 def content_concepts(spark, sf_dir):
     return _plain_units(spark, sf_dir).select("doc_id", "ord", F.array_join("content", " ").alias("content"), F.array_join("concepts", " ").alias("concepts"))
 
@@ -268,7 +274,7 @@ def section_units(spark, sf_dir):
 
 _QUERIES = [
     admit_documents, sections, doc_title, resource_plan, normalize_units, unit_ledger, unit_offsets, unit_tokens, discourse_role, local_function, anchors_numbers, anchors_quotations, anchors_citations,
-    anchors_terms, content_concepts, pair_evidence, candidate_edges, degree, exact_repeat_families, families, family_evidence, centre_scores, unit_decisions, family_plan, analysis_invariants, complexity,
+    anchors_terms, anchors_whole, content_concepts, pair_evidence, candidate_edges, degree, exact_repeat_families, families, family_evidence, centre_scores, unit_decisions, family_plan, analysis_invariants, complexity,
     transactions, compare_view, safe_pass_documents, global_report, conservation_ledger, certification, continuation, pass_instability, canonical_hashes, rounding, gate_adjudication, staged_views, section_units,
 ]
 

@@ -21,3 +21,18 @@ def test_entry(spark):
 def test_gate_query(spark, tiny):
     rows = core.queries()["gate_adjudication"](spark, tiny).collect()
     assert rows and all(r.accepted == 1 and r.errors.count("|") >= 6 for r in rows if "Nowhere" not in r.errors)
+
+
+def test_anchors_of_whole_texts(spark, tiny):
+    import re
+
+    kinds = {
+        "numbers": (r"(?:^|[^A-Za-z0-9_$])([$]?[0-9][0-9,.]*%?)", 1), "quotations": (r'"([^"]{2,})"', 1), "citations": (r"\[[^\]]+\]|\([^)]*\b(?:19|20)[0-9]{2}[^)]*\)", 0),
+        "defined_terms": (r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,4}\b", 0),
+    }
+    texts = {(r.doc_id, r.ord): r.text for r in core.queries()["normalize_units"](spark, tiny).collect()}
+    rows = core.queries()["anchors_whole"](spark, tiny).collect()
+    assert len(rows) == len(texts) > 6000 and any(r.numbers and r.ord > 5 for r in rows)
+    for r in rows:
+        for kind, (pattern, group) in kinds.items():
+            assert r[kind] == "|".join(m[group] for m in re.finditer(pattern, texts[r.doc_id, r.ord], re.A)), kind
