@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -29,9 +30,11 @@ def word_count(text: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset in local mode."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         from tempfile import gettempdir
 
         root = f"file://{gettempdir()}/quire-scratch"
@@ -105,6 +108,29 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Hand memory that a task has freed back to the system: Spark reuses Python workers for tasks of other operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def released(run):
+    """run over Arrow batches; what it held goes back to the system when the task ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def worker_state(key: str, make):
     """What make() gives, kept for later tasks of the same Python worker: tables that only save time."""
     import sys

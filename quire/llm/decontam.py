@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes
+from .common import gram_hashes, released
 
 WINDOW = 8
 #: Least number of plain words in a window that can tie a text to an item.
@@ -245,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for part in _parts(benchmark, item_col):
-        found = rows.mapInArrow(_passages(part, window, least_words), _SCHEMA)
+        found = rows.mapInArrow(released(_passages(part, window, least_words)), _SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
@@ -265,7 +265,11 @@ def _parts(benchmark: DataFrame, item_col: str) -> Iterator[list[tuple[int, str]
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of docs without a passage that ``find_leaks`` finds, all columns unchanged, in the same pass."""
+    """The rows of docs without a passage that ``find_leaks`` finds, all columns unchanged, in the same pass.
+
+    Null and empty texts stay, null ids are searched like others, repeated rows have one fate, and an empty table on
+    either side drops nothing. Columns keep their names, whatever they are.
+    """
     place, schema = docs.columns.index(text_col), docs.schema
 
     def clean(part: list[tuple[int, str]]) -> Callable:
@@ -277,7 +281,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         return run
 
     for part in _parts(benchmark, item_col):
-        docs = docs.mapInArrow(clean(part), schema)
+        docs = docs.mapInArrow(released(clean(part)), schema)
     return docs
 
 

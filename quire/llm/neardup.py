@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HashCache, binary_rows, discard, gram_hashes, materialise
+from .common import HashCache, binary_rows, discard, gram_hashes, materialise, released
 from .graph import components
 
 SHINGLE = 5
@@ -236,10 +236,10 @@ def _crowds(classes: DataFrame, loose: DataFrame, trees: int, depth: int, least:
     keys = tagged.select("id", "loose", F.posexplode("heads").alias("tree", "prefix"))
     groups = keys.groupBy("tree", "prefix").agg(F.count("*").alias("docs"), F.min("loose").alias("x"), F.max("loose").alias("y")).filter(f"docs > {LOOK_BACK + 1} AND x <> y")
     groups = materialise(groups.select("tree", "prefix", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks")), "crowds")
-    low = tagged.mapInArrow(_low_bytes, "id long, n long, loose long, low binary, heads array<binary>")
+    low = tagged.mapInArrow(released(_low_bytes), "id long, n long, loose long, low binary, heads array<binary>")
     members = low.select("id", "n", "loose", "low", F.posexplode("heads").alias("tree", "prefix")).join(groups, ["tree", "prefix"])
     rows = _meet(members, "tree", "prefix").select("tree", "prefix", "bi", "bj", "id", "n", "loose", "low")
-    return rows.mapInArrow(_crowd_links(least, percent), "a long, b long").distinct()
+    return rows.mapInArrow(released(_crowd_links(least, percent)), "a long, b long").distinct()
 
 
 def _set_maker(size: int) -> Callable:
@@ -351,7 +351,7 @@ def near_duplicates(
        most a row for each document. No task grows with a cluster. Last, forests of several blocks are joined.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketcher(shingle, trees, depth, seed), "id long, n long, key binary, sig binary"), "sketches")
+    sketches = materialise(rows.mapInArrow(released(_sketcher(shingle, trees, depth, seed)), "id long, n long, key binary, sig binary"), "sketches")
     known = sketches.filter("key IS NOT NULL AND id IS NOT NULL")
     classes = known.groupBy("key").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("key", "x.id", "x.n", "x.sig")
     classes = materialise(classes, "classes")
@@ -359,7 +359,7 @@ def near_duplicates(
     grown = classes.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     forest = grown.select("tree", F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})").alias("s"), "id", "n")
     forest = forest.repartitionByRange("tree", "s", "id").sortWithinPartitions("tree", "s", "id")
-    near = materialise(forest.mapInArrow(_neighbours(LOOK_BACK, MIN_DEPTH, percent), _NEIGHBOUR_SCHEMA), "neighbours")
+    near = materialise(forest.mapInArrow(released(_neighbours(LOOK_BACK, MIN_DEPTH, percent)), _NEIGHBOUR_SCHEMA), "neighbours")
     candidates = near.filter("kind = 0").select("a", "b").union(_across(near, percent)).distinct()
 
     p = percent / 100
@@ -367,7 +367,7 @@ def near_duplicates(
     left = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     signed = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    loose = materialise(components(signed.mapInArrow(_agreeing(least), "a long, b long")), "loose")
+    loose = materialise(components(signed.mapInArrow(released(_agreeing(least)), "a long, b long")), "loose")
     crowded = _crowds(classes, loose, trees, depth, least, percent)
     clusters = components(loose.select(F.col("id").alias("a"), F.col("component").alias("b")).union(crowded))
     clusters = materialise(clusters.select("id", F.col("component").alias("cluster")), "clusters")
@@ -376,9 +376,9 @@ def near_duplicates(
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = clusters.join(sized.select("cluster", blocks.alias("blocks")), "cluster")
     texts = rows.join(members.hint("shuffle_hash"), "id").select("cluster", "id", "blocks", "text")
-    sets = texts.mapInArrow(_set_maker(shingle), "cluster long, id long, blocks int, shingles binary")
+    sets = texts.mapInArrow(released(_set_maker(shingle)), "cluster long, id long, blocks int, shingles binary")
     paired = _meet(sets, "cluster").select("cluster", "bi", "bj", "id", "shingles")
-    links = paired.mapInArrow(_block_links(percent), "a long, b long")
+    links = paired.mapInArrow(released(_block_links(percent)), "a long, b long")
     joined = components(links)
 
     found = known.select("id", "key").join(classes.select("key", F.col("id").alias("first")), "key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import compress, repeat
@@ -12,13 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, scratch_path, small_batches, worker_state
+from .common import materialise, released, scratch_path, small_batches, worker_state
 from .pfor import chunks as chunks_of
 from .pfor import encode_chunk
 
 END_ID = 0
 CHUNK_IDS = 1 << 20
 CHUNKS_A_FILE = 16
+#: Most pieces of text whose ids a worker remembers, at some 350 bytes each.
+PIECES = 400_000
+
+
+def by_pieces(tokenizer_json: str) -> bool:
+    """Whether texts may be encoded piece by piece: a byte-level BPE whose pre-tokenizer parts words at their spaces."""
+    made = json.loads(tokenizer_json)
+    own, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    return (
+        own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and not made.get("normalizer")
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    )
 
 
 def tokenizer_path() -> str:
@@ -53,12 +66,13 @@ class PieceEncoder:
     space, so " piece" is encoded alike wherever it stands; and a run of stops after a letter or number is a token run of
     its own. New pieces go to the library together, as one text: an id that starts with a space starts a
     piece. Texts in which some piece is empty, or begins or ends with white space, or holds a special token, go to the
-    library whole. When the table is full, the pieces that were met least often leave it.
+    library whole, as do all texts of a tokenizer of another kind (see ``by_pieces``). When the table is full, the pieces
+    that were met least often leave it.
     """
 
     STOPS = ".,;:!?"
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000):
+    def __init__(self, tokenizer_json: str, most: int = PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
@@ -71,7 +85,7 @@ class PieceEncoder:
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most = most
+        self.most, self.apart = most, by_pieces(tokenizer_json)
         self._empty()
 
     def _empty(self) -> None:
@@ -125,7 +139,7 @@ class PieceEncoder:
             starts = np.nonzero(self.leads[ids])[0]
             if len(starts) == len(part):
                 self._put(at[i : i + 256], ids, np.diff(starts, append=len(ids)))
-            else:  # not a vocabulary of this kind
+            else:  # some piece has an id that starts with a space inside
                 found = self._whole([" " + p for p in part])
                 self._put(at[i : i + 256], np.concatenate(found), np.asarray([len(x) for x in found]))
 
@@ -166,6 +180,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of every text."""
+        if not self.apart:
+            return self._whole(texts)
         if len(self.places) > self.most:
             self._shrink()
         split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
@@ -194,10 +210,10 @@ class PieceEncoder:
         return [np.concatenate([next(firsts), ids[upto[a] : upto[b]]]) if own else next(whole) for own, a, b in zip(apart, ends, ends[1:])]
 
 
-def _encoder(tokenizer_json: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(tokenizer_json: str, end_id: int, pieces: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = f"token pieces {zlib.crc32(tokenizer_json.encode())}"
-        encoder, end = worker_state(key, lambda: PieceEncoder(tokenizer_json)), np.asarray([end_id], "<u4")
+        key = f"token pieces {pieces} {zlib.crc32(tokenizer_json.encode())}"
+        encoder, end = worker_state(key, lambda: PieceEncoder(tokenizer_json, pieces)), np.asarray([end_id], "<u4")
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
@@ -225,19 +241,22 @@ def _encoder(tokenizer_json: str, end_id: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, pieces: int = PIECES) -> None:
     """Encode every whole text, append ``end_id``, and write the ids to binary files under ``path``.
 
-    Documents stand in ascending id order over the files in name order: nulls first, ties in text order. Each file
+    Documents stand in ascending id order over the files in name order: nulls first, ties in order of the texts'
+    64-bit hashes, and repeated rows are documents of their own. Ids must be integers or castable to them; other columns,
+    whatever their names, are not read. Each file
     holds at most 16 chunks (see ``pfor``) of about a million ids, so a reader never holds more than some 40 MB;
     a document is never split. Null text is empty and so only ``end_id``. An empty table writes no chunk.
 
     One range shuffle by (id, text) deals rows evenly, whatever the ids are; the files go through Spark's commit
     protocol, so a task that is run again after a lost executor leaves nothing double. The tokenizer file is read
-    on the driver and travels with the tasks (1.5 MB, its size fixed by the vocabulary).
+    on the driver and travels with the tasks (1.5 MB, its size fixed by the vocabulary). ``pieces`` bounds the table of
+    pieces that each worker keeps between tasks; it decides about time and memory, never about ids.
     """
     with open(tokenizer or tokenizer_path(), encoding="utf-8") as f:
-        run = _encoder(f.read(), end_id)
+        run = released(_encoder(f.read(), end_id, pieces))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     chunks = rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
@@ -269,7 +288,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     own = F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 0)
     name = F.concat(F.lpad(F.regexp_extract(own, r"part-(\d+)", 1), 12, "0"), F.lpad(F.regexp_extract(own, r"-c(\d+)$", 1), 12, "0"))
-    docs = materialise(files.select(name.alias("file"), "content").mapInArrow(_decode, "file string, local long, doc_id long, n long, crc long"), "token-index")
+    docs = materialise(files.select(name.alias("file"), "content").mapInArrow(released(_decode), "file string, local long, doc_id long, n long, crc long"), "token-index")
     totals = docs.groupBy("file").agg(F.sum("n").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = docs.join(totals.select("file", before.alias("before")), "file")
