@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, word_count
+from .common import materialise, released, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 32
 SHARD_WORDS = 1_000_000
-MAX_SHARDS = 4096
+#: Shards that share one row of the driver's table.
+BUNDLE = 256
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -99,16 +100,18 @@ def plan_mix(
     Sources in code point order, null last, take the weights in turn. The budget is ``budget`` times all words;
     a source's target stops at ``max_repeat`` times its size and the excess is shared again. Inside a source,
     documents are dealt to shards by a seeded hash and laid end to end in seeded order; each shard's words are cut
-    into blocks of ``block_words``. Sainte-Lague gives every source its number of blocks and then every shard
-    its integer quota q of n blocks: each block is taken q // n times and the first q % n of a seeded permutation
-    once more, so no block, and so no document, is taken more than ``max_repeat`` times.
+    into blocks of ``block_words``. Sainte-Lague gives every source its number of blocks, then every bundle of
+    ``BUNDLE`` shards, then every shard its integer quota q of n blocks: each block is taken q // n times and the first
+    q % n of a seeded permutation once more, so no block, and so no document, is taken more than ``max_repeat`` times.
 
     Returns ``doc_id, size, source_size, target, taken`` and, for writers, ``source, start`` (the first word's
     place in the shard), ``base, rest, n_blocks, mul, add`` (the shard's quota and permutation). Null text has
-    size 0; null ids and repeated rows are rows of their own; an empty table gives no rows.
+    size 0 and nothing taken; a null source is a source of its own, the last one; null ids and repeated rows are rows of
+    their own, and rows with equal ids stand side by side; an empty table gives no rows. Other columns are not read.
 
-    Only counts reach the driver: a row for each source and at most 4096 for its shards. A shard's running sum
-    covers about ``shard_words`` words, however large a source is.
+    Only counts reach the driver: a row for each source, as the contract's order and resharing of sources ask, and one
+    for each bundle, some 256 million words. Shards get their quotas in tasks, a bundle at a time. A shard's running sum
+    covers about ``shard_words`` words, however large a source is; only rows with one and the same id stay together.
     """
     spark = docs.sparkSession
     sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
@@ -118,17 +121,22 @@ def plan_mix(
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], budget * sum(sizes), max_repeat)
 
     kinds = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())])
-    rows = [(s, n, t, max(1, min(MAX_SHARDS, math.ceil(n / shard_words)))) for s, n, t in zip(order, sizes, wanted)]
+    rows = [(s, n, t, max(1, math.ceil(n / shard_words))) for s, n, t in zip(order, sizes, wanted)]
+    n_shards = sum(r[3] for r in rows)
     by_source = _small(spark.createDataFrame(rows, kinds), len(rows))
     a, b = sized.alias("a"), by_source.alias("b")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(
         "a.doc_id", "a.source", "a.size", "b.source_size", "b.target", F.pmod(key, F.col("b.shards")).alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("deal")
     )
-    per_shard = sorted(((r["source"], r["shard"], r["words"]) for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).toLocalIterator()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
-    blocks = {s: sum(-(-w // block_words) for x, _, w in per_shard if x == s) for s in order}
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
+    shards = shards.select("source", F.expr(f"shard div {BUNDLE}").alias("bundle"), "shard", "words", F.ceil(F.col("words") / block_words).cast("long").alias("blocks"))
+    shards = materialise(shards.groupBy("source", "bundle").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.array_sort(F.collect_list(F.struct("shard", "words", "blocks"))).alias("shards")), "mix-shards")
+    bundles: dict[str | None, list[tuple[int, int, int]]] = {s: [] for s in order}
+    for r in shards.select("source", "bundle", "words", "blocks").toLocalIterator():
+        bundles[r["source"]].append((r["bundle"], r["words"], r["blocks"]))
     full = [t >= max_repeat * n for n, t in zip(sizes, wanted)]
-    caps = [max_repeat * blocks[s] for s in order]
+    caps = [max_repeat * sum(n for *_, n in bundles[s]) for s in order]
     # sources at their limit take every block that often; the others share the rest of the budget's blocks
     free = [i for i, f in enumerate(full) if not f]
     seats = sainte_lague([wanted[i] for i in free], round(sum(wanted[i] for i in free) / block_words), [caps[i] for i in free])
@@ -136,13 +144,13 @@ def plan_mix(
 
     plan = []
     for s in order:
-        own = [(shard, w) for x, shard, w in per_shard if x == s]
-        n_of = [-(-w // block_words) for _, w in own]
-        for (shard, _), n, q in zip(own, n_of, sainte_lague([float(w) for _, w in own], quota[s], [max_repeat * n for n in n_of])):
-            mul, add = _permutation(n, seed, s, shard) if n else (0, 0)
-            plan.append((s, shard, n, q // n if n else 0, q % n if n else 0, mul, add))
-    kinds = T.StructType([T.StructField("source", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("shard", "n_blocks", "base", "rest", "mul", "add")])
-    quotas = _small(spark.createDataFrame(plan, kinds), len(plan)).alias("q")
+        own = sorted(bundles[s])
+        for (bundle, _, _), q in zip(own, sainte_lague([float(w) for _, w, _ in own], quota[s], [max_repeat * n for *_, n in own])):
+            plan.append((s, bundle, q))
+    kinds = T.StructType([T.StructField("source", T.StringType()), T.StructField("bundle", T.LongType()), T.StructField("quota", T.LongType())])
+    given, s = _small(spark.createDataFrame(plan, kinds), len(plan)).alias("g"), shards.alias("s")
+    dealt = s.join(given, F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.bundle") == F.col("g.bundle"))).select("s.source", "g.quota", "s.shards")
+    quotas = _small(dealt.mapInArrow(released(_shard_quotas(max_repeat, seed)), _QUOTAS), n_shards).alias("q")
 
     w = Window.partitionBy("source", "shard").orderBy("deal", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = placed.withColumn("start", F.sum("size").over(w) - F.col("size")).alias("p")
@@ -152,6 +160,26 @@ def plan_mix(
     return out.withColumn("taken", F.when(F.col("size") > 0, F.expr(taken_sql(block_words))).otherwise(F.lit(0)).cast("long"))
 
 
+_QUOTAS = "source string, shard long, n_blocks long, base long, rest long, mul long, add long"
+
+
+def _shard_quotas(max_repeat: int, seed: int) -> Callable:
+    """Over bundles (source, quota, shards): a row for each shard, its blocks shared by the same method."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _QUOTAS.split(", ")]
+        for batch in batches:
+            rows = []
+            for source, quota, shards in zip(*(c.to_pylist() for c in batch.columns)):
+                blocks = [x["blocks"] for x in shards]
+                for x, n, q in zip(shards, blocks, sainte_lague([float(x["words"]) for x in shards], quota, [max_repeat * n for n in blocks])):
+                    mul, add = _permutation(n, seed, source, x["shard"]) if n else (0, 0)
+                    rows.append((source, x["shard"], n, q // n if n else 0, q % n if n else 0, mul, add))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(len(names))], names)
+
+    return run
+
+
 def taken_sql(block_words: int) -> str:
     """base times the size, and the words in blocks that the seeded permutation takes once more."""
     b = block_words
@@ -162,18 +190,20 @@ def taken_sql(block_words: int) -> str:
 
 
 def _writer(block: int, columns: list[str], text_col: str) -> Callable:
-    """Over rows of documents and their plan: a row for each time that words of the document are taken."""
+    """Over rows (doc, plan) of a document's columns and its plan: a row for each time that its words are taken."""
+    place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plan = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("mix_size", "mix_start", "mix_blocks", "mix_base", "mix_rest", "mix_mul", "mix_add")]
+            fields = batch.column(0).flatten()
             rows, texts = [], []
-            for i, (text, size, start, n, base, rest, mul, add) in enumerate(zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), *plan)):
+            for i, (text, p) in enumerate(zip(fields[place].to_pylist(), batch.column(1).to_pylist())):
+                size, start, n, rest = p["size"], p["start"], p["n_blocks"], p["rest"]
                 if not size:
                     continue
-                more = [(mul * j + add) % n < rest for j in range(start // block, (start + size - 1) // block + 1)]
-                rows += [i] * base
-                texts += [text] * base
+                more = [(p["mul"] * j + p["add"]) % n < rest for j in range(start // block, (start + size - 1) // block + 1)]
+                rows += [i] * p["base"]
+                texts += [text] * p["base"]
                 if all(more):
                     rows.append(i)
                     texts.append(text)
@@ -191,9 +221,8 @@ def _writer(block: int, columns: list[str], text_col: str) -> Callable:
                         k += 1
                     rows.append(i)
                     texts.append("\n".join(parts))
-            out = batch.select(columns).take(pa.array(rows, pa.int64()))
-            arrays = [pa.array(texts, pa.string()) if c == text_col else out.column(k) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == place else field.take(at) for k, field in enumerate(fields)], columns)
 
     return run
 
@@ -202,13 +231,16 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The mix itself, with the columns of docs: a row for each time words of a document are taken.
 
     A document whose blocks are all taken keeps its text; otherwise the text has its taken blocks, runs of them as
-    they stand and a line break between runs. Rows that repeat an id share the plan of the first of them in plan order.
+    they stand and a line break between runs. Rows that repeat an id with as many words share the plan of the first of
+    them in plan order. Null and empty texts have no words and so no row. Null ids are ids like others. An empty table
+    gives no rows. The columns of docs travel in one struct, so none of their names can clash.
     """
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, block_words=block_words, **options)
-    names = {"size": "mix_size", "start": "mix_start", "n_blocks": "mix_blocks", "base": "mix_base", "rest": "mix_rest", "mul": "mix_mul", "add": "mix_add"}
-    plan = plan.filter("taken > 0").groupBy("doc_id", "size").agg(F.min(F.struct(*list(names)[1:])).alias("x")).select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), *(F.col(f"x.{c}").alias(n) for c, n in list(names.items())[1:]))
-    joined = docs.join(plan.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("mix_id")) & (word_count(docs[text_col]) == F.col("mix_size"))).drop("mix_id")
-    return joined.mapInArrow(_writer(block_words, docs.columns, text_col), docs.schema)
+    numbers = F.struct("start", "size", "n_blocks", "base", "rest", "mul", "add")
+    plan = plan.filter("taken > 0").groupBy("doc_id", "size").agg(F.min(numbers).alias("plan"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("key"), word_count(F.col(text_col)).alias("words"))
+    joined = whole.join(plan.hint("shuffle_hash"), whole["key"].eqNullSafe(plan["doc_id"]) & (whole["words"] == plan["size"])).select("doc", "plan")
+    return joined.mapInArrow(released(_writer(block_words, docs.columns, text_col)), docs.schema)
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:

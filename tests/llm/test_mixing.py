@@ -60,3 +60,16 @@ def test_written_words_are_the_planned_ones(odd):
     for r in out.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.encode().split())
     assert words == {k: v for k, v in plan.items() if v}
+
+
+def test_shards_come_in_bundles(odd, monkeypatch):
+    """Many bundles of few shards give the same totals, and names like those used inside don't clash."""
+    monkeypatch.setattr(mixing, "BUNDLE", 3)
+    rows = mixing.plan_mix(odd, shard_words=500, block_words=8).collect()
+    assert len(rows) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8 * 70
+    named = odd.selectExpr("*", "1 AS mix_size", "2 AS mix_id", "3 AS doc", "4 AS plan", "5 AS words")
+    out = mixing.mix_documents(named, block_words=8)
+    assert out.columns == named.columns and {r.mix_id for r in out.collect()} == {2}
