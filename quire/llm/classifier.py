@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, released
 
 BITS = 15
 RANK = 8
@@ -122,12 +122,14 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, metadata: tuple[str, ...] = ()) -> dict:
     """Fit the model on at most ``max_train`` labelled rows, never a held-out one.
 
-    The bound makes the fit's cost a constant: the labels' rows with the smallest id hashes are chosen first, their
-    texts become features on the executors, and only those (about 2 KB a row) reach the driver.
+    The bound makes the fit's cost a constant: the labelled ids with the smallest hashes are chosen first, their
+    texts become features on the executors, and only those (about 2 KB an id) reach the driver. An id is one row of the
+    fit, however often its label or its document is repeated: its least label counts, and of its documents the one whose
+    features come first.
     """
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out("doc_id"))
-    chosen = chosen.select(F.col("doc_id").cast("long").alias("own_id"), F.col("quality").cast("int").alias("own_label"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(23), F.col("own_id")), "own_id", "own_label").limit(max_train)
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("own_id")).agg(F.min("quality").cast("int").alias("own_label"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit(23), F.col("own_id")), "own_id").limit(max_train)
     extra = [F.coalesce(F.col(c).cast("float"), F.lit(0.0)).cast("float").alias(f"m{i}") for i, c in enumerate(metadata)]
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("own_text"), *extra).join(F.broadcast(chosen), "own_id")
     rows = rows.select("own_id", "own_label", "own_text", *(f"m{i}" for i in range(len(metadata))))
@@ -142,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 ["id", "label", "places", "values"],
             )
 
-    got = rows.mapInArrow(featurise, "id long, label int, places binary, values binary").toArrow()
-    got = got.sort_by([("id", "ascending"), ("label", "ascending"), ("places", "ascending")])
+    made = rows.mapInArrow(released(featurise), "id long, label int, places binary, values binary")
+    got = made.groupBy("id").agg(F.min(F.struct("places", "values", "label")).alias("x")).select("id", "x.*").toArrow().sort_by("id")
     places = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["places"].to_pylist()]
     values = [np.frombuffer(x, "<f4") for x in got["values"].to_pylist()]
     return fit(places, values, np.asarray(got["label"].to_pylist(), np.float32), size=(1 << BITS) + len(STATS) + len(metadata))
@@ -169,7 +171,7 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
     """``doc_id, score`` of every row in one pass without a shuffle; the model has a fixed size of about 1 MB."""
     extra = [F.coalesce(F.col(c).cast("float"), F.lit(0.0)).cast("float").alias(f"m{i}") for i, c in enumerate(metadata)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    return rows.mapInArrow(_scorer(model, len(metadata)), "doc_id long, score double")
+    return rows.mapInArrow(released(_scorer(model, len(metadata))), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -190,7 +192,11 @@ def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of docs that score at least ``threshold``, all columns unchanged, in the pass that scores them."""
+    """The rows of docs that score at least ``threshold``, all columns unchanged, in the pass that scores them.
+
+    Null and empty texts are judged by the score of an empty text, null ids like others; repeated rows, and ties of equal
+    texts, have one fate. An empty table gives no rows. Columns keep their names, whatever they are.
+    """
     model, schema = train(docs, labels, id_col=id_col, text_col=text_col, max_train=max_train), docs.schema
     place = docs.columns.index(text_col)
 
@@ -203,4 +209,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
                 good = scores(model, [p for p, _ in found], [v for _, v in found]) >= threshold
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, HashCache, gram_hashes, materialise
+from .common import BLANKS, HashCache, gram_hashes, materialise, released
 
 SYMBOLS = "#*$%&|<>"
 #: rule -> its measure, a ratio of the counts below (0 for empty texts). A text fails a rule if its measure is above the cutoff.
@@ -90,7 +90,7 @@ def text_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Counts of every whole text; null text counts as empty."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), stratum.alias("stratum"))
-    return rows.mapInArrow(_counter(), "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(released(_counter()), "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def binomial_at_most(k: int, n: int, p: float) -> float:
@@ -113,9 +113,14 @@ def cutoffs(counts: DataFrame, labels: DataFrame, *, risk: float = RISK, delta:
     A cutoff holds if, were the true share of good texts above it ``risk``, so few of the labelled good texts
     would be above it with probability at most ``delta`` over the number of all tests (Bonferroni over strata,
     rules and cutoffs): the exact one-sided binomial bound. A stratum without enough good labels gets no cutoff for
-    the rule and rejects nothing by it. All labelled rows count; a histogram a stratum and rule reaches the driver.
+    the rule and rejects nothing by it. A histogram a stratum and rule reaches the driver.
+
+    Every labelled document counts once, however often its label or its row is repeated: repeats are no evidence. It is
+    good if all its labels that aren't null are 1; of several rows with its id the one with the least counts stands.
     """
-    good = counts.join(labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")
+    agreed = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+    good = counts.join(agreed.filter("least = 1 AND most = 1").select("doc_id"), "doc_id")
+    good = good.groupBy("doc_id").agg(F.min(F.struct("stratum", *COUNTS)).alias("x")).select("doc_id", "x.*")
     bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.expr(_bin(r)).cast("int").alias("bin")) for r in RULES)))
     held: dict[tuple[str, str], dict[int, int]] = {}
     for r in good.select("stratum", bins.alias("x")).groupBy("stratum", "x.rule", "x.bin").count().toLocalIterator():

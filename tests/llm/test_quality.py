@@ -85,3 +85,22 @@ def test_metadata_is_read_only_when_named(odd, labels):
     plain = {r.doc_id: r.score for r in classifier.classify(odd, labels).collect()}
     more = {r.doc_id: r.score for r in classifier.classify(odd, labels, metadata=("n_chars",)).collect()}
     assert set(plain) == set(more) and plain != more
+
+
+def test_repeated_labels_are_no_evidence(spark):
+    """150 good labels set no cutoff; neither do the same 150 ten times, nor ten rows of each document."""
+    names = ["doc_id", "stratum", *rules.COUNTS]
+    df = spark.createDataFrame([(i, "a", *([100] * 9)) for i in range(150)], names)
+    labels = df.selectExpr("doc_id", "1 AS quality")
+    many = lambda x: x.crossJoin(spark.range(10).select()).select(x.columns)
+    assert rules.cutoffs(df, labels) == rules.cutoffs(df, many(labels)) == rules.cutoffs(many(df), labels) == []
+    enough = spark.createDataFrame([(i, "a", *([100] * 9)) for i in range(1500)], names)
+    good = enough.selectExpr("doc_id", "1 AS quality")
+    assert rules.cutoffs(enough, good) and rules.cutoffs(many(enough), many(good)) == rules.cutoffs(enough, good)
+    assert rules.cutoffs(enough, good.union(enough.selectExpr("doc_id", "0 AS quality"))) == []  # labels that disagree
+
+
+def test_repeated_rows_do_not_widen_the_fit(odd, labels):
+    before = classifier.train(odd, labels)
+    after = classifier.train(odd.union(odd), labels.union(labels).union(labels))
+    assert (before["w"] == after["w"]).all() and before["b"] == after["b"]
