@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, worker_state
+from .tokenbin import PieceEncoder, tokenizer_path
+
 BUDGET = 1024
 HISTORY = 256
+#: Pieces of text whose tokens a worker remembers.
+PIECES = 100_000
 TARGET_ROLES = ("assistant",)
 
 #: The template: a turn is OPEN role SEP text CLOSE. Escaped text holds none of these marks.
@@ -50,7 +56,25 @@ def render(turns: list[tuple[str, str, bool]], targets: tuple[str, ...]) -> tupl
     return "".join(parts), spans, fresh_at
 
 
-def _windows(budget: int, history: int, targets: tuple[str, ...]) -> Callable:
+def turn_tokens(tokenizer_json: str, pieces: int) -> Callable[[list[str], list[str]], list[int]]:
+    """(roles, texts) -> tokens of each turn as it is formatted, by the tokenizers library."""
+    encoder = worker_state(f"turn tokens {pieces} {zlib.crc32(tokenizer_json.encode())}", lambda: PieceEncoder(tokenizer_json, pieces))
+    marks: dict[str, int] = {}
+
+    def count(roles: list[str], texts: list[str]) -> list[int]:
+        new = sorted(set(roles) - marks.keys())
+        if len(marks) > 10_000:
+            marks.clear()
+            new = sorted(set(roles))
+        for role, ids in zip(new, encoder.encode([OPEN + escape_role(r) + SEP for r in new])):
+            marks[role] = len(ids) + ends
+        return [marks[r] + len(ids) for r, ids in zip(roles, encoder.encode([escape(t) for t in texts]))]
+
+    ends = len(encoder.encode([CLOSE])[0])
+    return count
+
+
+def _windows(budget: int, history: int, targets: tuple[str, ...], tokenizer_json: str) -> Callable:
     """Over turns in (conversation, turn) order: one window at a time in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +84,8 @@ def _windows(budget: int, history: int, targets: tuple[str, ...]) -> Callable:
         before: deque[tuple[str, str, int]] = deque()
         before_size = size = 0
         fresh: list[tuple[str, str]] = []
-        repeated: list[tuple[str, str]] = []
+        repeated: list[tuple[str, str, int]] = []
+        count = turn_tokens(tokenizer_json, PIECES)
         system_size = 0
         out: list[tuple] = []
 
@@ -69,7 +94,7 @@ def _windows(budget: int, history: int, targets: tuple[str, ...]) -> Callable:
             if not fresh:
                 return
             kept = [(*system, False)] if system and number else []
-            text, spans, at = render(kept + [(*t, False) for t in repeated] + [(*t, True) for t in fresh], targets)
+            text, spans, at = render(kept + [(r, t, False) for r, t, _ in repeated] + [(*t, True) for t in fresh], targets)
             out.append((conv, number, text, spans, at))
             number += 1
             fresh.clear()
@@ -77,24 +102,29 @@ def _windows(budget: int, history: int, targets: tuple[str, ...]) -> Callable:
         def begin() -> None:
             """The next window starts with the system turn and as many last turns as the history budget holds."""
             nonlocal size
-            repeated[:] = [(r, t) for r, t, _ in before]
+            repeated[:] = before
             size = system_size + before_size
 
-        for batch in batches:
-            for own, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                role, text = role or "", text or ""
+        def turns() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    ids, roles, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                    roles, texts = [r or "" for r in roles], [t or "" for t in texts]
+                    yield list(zip(ids, roles, texts, count(roles, texts)))
+
+        for part in turns():
+            for own, role, text, tokens in part:
                 if own != conv or conv is run:
                     close()
                     conv, number, system, system_size, before_size, size = own, 0, None, 0, 0, 0
                     before.clear()
                     repeated.clear()
                     first = True
-                tokens = len(text.encode().split()) + 2
                 if fresh and size + tokens > budget:
                     close()
                     begin()
                     while repeated and size + tokens > budget:  # history gives way to a long new turn
-                        size -= len(repeated.pop(0)[1].encode().split()) + 2
+                        size -= repeated.pop(0)[2]
                 fresh.append((role, text))
                 size += tokens
                 if first and role == "system":
@@ -125,12 +155,13 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["conv_id", "window", "formatted", "loss", "fresh"])
 
 
-def format_chats(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, targets: tuple[str, ...] = TARGET_ROLES) -> DataFrame:
+def format_chats(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, targets: tuple[str, ...] = TARGET_ROLES, tokenizer: str | None = None) -> DataFrame:
     """Windows of whole turns: ``conv_id, window, formatted, loss, fresh``.
 
-    turns: ``conv_id, turn, role, text``. A running sum of turn tokens (words and two marks) closes a window where the
-    next turn would pass ``budget``; a turn is never cut, so one that is longer has a window of its own. Every
-    later window repeats a leading system turn and the last turns that fit ``history``; ``loss`` has the spans of
+    turns: ``conv_id, turn, role, text``. A running sum of turn tokens, those that the public tokenizer makes of the
+    formatted turn, closes a window where the next turn would pass ``budget``. History gives way to a long new turn. A
+    turn is never cut and a system turn never dropped: one turn, with the system turn before it, may alone pass the
+    budget and then has a window of its own. Every later window repeats a leading system turn and the last turns that fit ``history``; ``loss`` has the spans of
     ``targets`` roles' texts, in code points, in the window where a turn is fresh, so a repeated target is masked and
     every target is learnt once. ``fresh`` has the places where fresh turns start.
 
@@ -141,19 +172,25 @@ def format_chats(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTO
     A conversation's rows meet in one task in turn order and stream through it: memory holds one window, the system
     turn and the history, however long the conversation is.
     """
+    with open(tokenizer or tokenizer_path(), encoding="utf-8") as f:
+        run = released(_windows(budget, history, targets, f.read()))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_windows(budget, history, targets), _SCHEMA)
+    return rows.select("conv_id", "role", "text").mapInArrow(run, _SCHEMA)
 
 
-def read_turns(formatted: str, fresh: list[int], loss: list[tuple[int, int]]) -> Iterator[tuple[str, str, bool]]:
-    """(role, text, learnt) of the fresh turns of a window, from its text and mask alone."""
-    masked = {start for start, _ in loss}
+def read_turns(formatted: str, fresh: list[int]) -> Iterator[tuple[str, str]]:
+    """(role, text) of the fresh turns of a window, whose places the column ``fresh`` gives."""
     for at in fresh:
         head = formatted.index(SEP, at)
         body = head + len(SEP)
-        end = formatted.index(CLOSE, body)
-        yield unescape_role(formatted[at + len(OPEN) : head]), unescape(formatted[body:end]), body in masked
+        yield unescape_role(formatted[at + len(OPEN) : head]), unescape(formatted[body : formatted.index(CLOSE, body)])
+
+
+def read_learnt(formatted: str, loss: list[tuple[int, int]]) -> Iterator[str]:
+    """What stands under the mask, unescaped, span by span: the mask alone says what is learnt."""
+    for start, end in loss:
+        yield unescape(formatted[start:end])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +213,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((conv, n, turns.hexdigest(), chars, learnt.hexdigest(), total, windows))
                 conv, n, chars, total, windows = own, 0, 0, 0, 0
                 turns, learnt = hashlib.sha256(), hashlib.sha256()
-            for role, text, masked_in in read_turns(formatted, fresh, [(x["start"], x["end"]) for x in loss]):
+            for role, text in read_turns(formatted, fresh):
                 n += 1
                 turns.update(f"{role}\n{text}\n".encode())
-                if masked_in:
-                    chars += len(text)
-                    learnt.update(text.encode())
+            for text in read_learnt(formatted, [(x["start"], x["end"]) for x in loss]):
+                chars += len(text)
+                learnt.update(text.encode())
             total += len(formatted)
             windows += 1
         yield batch_of()
@@ -193,7 +230,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest_chats(windows: DataFrame) -> DataFrame:
     """What the formatted windows hold, read back from them; windows in the order ``format_chats`` gives."""
     kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
-    return windows.select("conv_id", "formatted", "loss", "fresh").mapInArrow(_digests, kinds)
+    return windows.select("conv_id", "formatted", "loss", "fresh").mapInArrow(released(_digests), kinds)
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -31,9 +31,12 @@ def test_windows(spark):
     rows = chat.format_chats(df, budget=100, history=50)
     own = sorted((r for r in rows.collect() if r.conv_id == 1), key=lambda r: r.window)
     assert len(own) > 5
+    with open(chat.tokenizer_path(), encoding="utf-8") as f:
+        count = chat.turn_tokens(f.read(), 1000)
     for r in own:
         assert r.formatted.startswith("<|turn|>system\nbe kind<|end|>\n")
-        assert len(r.formatted.split()) <= 140
+        turns = [t.split("\n", 1) for t in r.formatted.split(chat.OPEN)[1:]]
+        assert sum(count([x for x, _ in turns], [t.removesuffix(chat.CLOSE) for _, t in turns])) <= 100
     assert any(len(r.fresh) < r.formatted.count(chat.OPEN) - 1 for r in own[1:])  # history is repeated
     learnt = [r.formatted[s["start"] : s["end"]] for r in own for s in r.loss]
     assert learnt == [t[3] for t in TURNS if t[0] == 1 and t[2] == "assistant"]
@@ -47,3 +50,25 @@ def test_windows(spark):
 
 def test_empty_table(spark):
     assert chat.digest_chats(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
+
+
+def test_digest_follows_the_mask(spark):
+    """What is learnt is what the mask covers: a mask that ends elsewhere gives another digest."""
+    from pyspark.sql import functions as F
+
+    rows = chat.format_chats(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").filter("conv_id = 1"))
+    cut = rows.withColumn("loss", F.transform("loss", lambda s: F.struct(s["start"].alias("start"), (s["start"] + 2).alias("end"))))
+    (whole,), (short,) = chat.digest_chats(rows).collect(), chat.digest_chats(cut).collect()
+    assert short.loss_chars == 2 * 20 < whole.loss_chars and short.loss_sha256 != whole.loss_sha256 and short.turns_sha256 == whole.turns_sha256
+
+
+def test_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = chat.tokenizer_path()
+    own = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        count = chat.turn_tokens(f.read(), 1000)
+    roles, texts = ["user", "", "a\nb"], ["x <b> [c] \\ d", "", "one  two\nthree"]
+    parts = [(chat.OPEN + chat.escape_role(r) + chat.SEP, chat.escape(t), chat.CLOSE) for r, t in zip(roles, texts)]
+    assert count(roles, texts) == [sum(len(own.encode(x, add_special_tokens=False).ids) for x in p) for p in parts]
