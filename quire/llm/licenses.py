@@ -12,22 +12,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, gram_hashes
+from .common import HashCache, gram_hashes, released
 
-#: Notices of public licenses, as their owners publish them.
+#: Notices and texts of public licenses, as their owners publish them. Of the longest licenses the parts
+#: that stand at their start.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+    ],
     "Apache-2.0-header": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0."],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GNU General Public License v3.0.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
+    "GPL-2.0": [
+        "Licensed under the GNU General Public License v2.0.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
     "GPL-header": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ],
+    "LGPL-header": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License v3.0.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License v3.0.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
     "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License."],
     "MIT-text": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -36,26 +65,63 @@ TEMPLATES = {
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
         "of the Software."
     ],
+    "MIT-warranty": [
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "BSD-warranty": [
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "All-rights-reserved": ["Copyright. All rights reserved."],
 }
+#: Identifiers of the SPDX list that tags name.
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only "
+    "GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+TEMPLATES |= {name: [*TEMPLATES.get(name, ()), f"SPDX-License-Identifier: {name}"] for name in SPDX}
 COVERAGE = 0.8
+#: Templates of fewer words must align whole: one word decides there which license it is.
+SHORT = 10
+#: Claims that grant nothing: they are notices, no licenses.
+CLAIMS = frozenset({"All-rights-reserved"})
 #: Notices with a holder's name and years between their first word and the rest, and the most words of these.
 HOLDERS = frozenset({"All-rights-reserved"})
 HOLDER_WORDS = 25
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,14 +186,14 @@ def _scanner(templates: list[tuple[str, str]], coverage: float) -> Callable:
         cache = HashCache()
 
         def words(text: str) -> np.ndarray:
-            return cache.of([w.encode() for w in _WORD.findall(text.lower())])
+            return cache.of([w.lower().encode() for w in _WORD.findall(text)])
 
         made, seeds = [], {}
         for name, text in templates:
             w = words(text)
             for j, gram in enumerate(gram_hashes(w, 3).tolist()):
                 seeds.setdefault(gram, []).append((len(made), j))
-            made.append((name, w.tolist()))
+            made.append((name, w.tolist(), len(w) if len(w) < SHORT else coverage * len(w)))
         sieve = np.zeros(_SIEVE + 1, bool)
         sieve[[g & _SIEVE for g in seeds]] = True
 
@@ -138,21 +204,21 @@ def _scanner(templates: list[tuple[str, str]], coverage: float) -> Callable:
             hits = [(at, k, j) for at in maybe.tolist() for k, j in seeds.get(int(grams[at]), ())]
             if not hits:
                 return []
-            spots, ends, found = [m.span() for m in _WORD.finditer(text.lower())], {}, []
+            spots, ends, found = [m.span() for m in _WORD.finditer(text)], {}, []
             for at, k, j in hits:
-                name, template = made[k]
+                name, template, least = made[k]
                 if at < ends.get(k, 0):
                     continue
                 slack = max(3, len(template) // 4)
                 lo, hi = max(0, ends.get(k, 0), at - j - slack), at - j + len(template) + slack
                 pairs = align(own[lo:hi].tolist(), template)
-                if name in HOLDERS and j and len(pairs) < coverage * len(template):
+                if name in HOLDERS and j and len(pairs) < least:
                     # the nearest first word before the seed, then the words of the seed alone
                     far = max(ends.get(k, 0), at - j - HOLDER_WORDS)
                     if len(near := far + np.nonzero(own[far:at] == np.uint64(template[0]))[0]):
                         lo = int(near[-1])
                         pairs = align(own[lo : at - j + len(template)].tolist(), template)
-                if len(pairs) >= coverage * len(template):
+                if len(pairs) >= least:
                     ends[k] = lo + pairs[-1][0] + 1
                     found.append((lo + pairs[0][0], ends[k], len(pairs), name, len(pairs) / len(template)))
             out = []
@@ -171,23 +237,26 @@ def _scanner(templates: list[tuple[str, str]], coverage: float) -> Callable:
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """License notices in every whole text: ``doc_id, spans`` with ``license, start, end`` (code points of the
-    lower-cased text, end exclusive) and ``coverage``, the share of the template's words that align.
+    text, end exclusive) and ``coverage``, the share of the template's words that align.
 
     Runs of three template words seed a window as long as the template and a quarter more on either side; the window
     and the template are aligned by words that are unique in both, recursively. A span counts from ``coverage`` on, so
-    other words, line breaks and punctuation inside a notice don't hide it. Of notices that overlap the one with
-    the most aligned words stays. Notices in ``HOLDERS`` may have up to 25 words of names and years after their first.
+    other words, line breaks and punctuation inside a notice don't hide it; a template of fewer than ten words must align
+    whole. Of notices that overlap the one with the most aligned words stays. Notices in ``HOLDERS`` may have up to 25 words of names and years after their first.
 
     Null and empty texts have no span. Null ids and repeated rows are rows of their own. An empty table gives no
-    rows. Other columns are not read. One pass, no shuffle; the templates travel with the tasks (under 10 KB).
+    rows. Other columns are not read. One pass, no shuffle; the templates travel with the tasks (some 15 KB).
     """
     made = [(name, text) for name, texts in (TEMPLATES if templates is None else templates).items() for text in texts]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scanner(made, coverage), "doc_id long, spans array<struct<license:string,start:long,end:long,coverage:double>>")
+    return rows.mapInArrow(released(_scanner(made, coverage)), "doc_id long, spans array<struct<license:string,start:long,end:long,coverage:double>>")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     out = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    names = F.array_join(F.array_sort(F.array_distinct("spans.license")), ",")
+    claim = lambda x: x["license"].isin(*CLAIMS)
+    names = F.array_join(F.array_sort(F.array_distinct(F.filter("spans", lambda x: ~claim(x))["license"])), ",")
     best = F.coalesce(F.array_max("spans.coverage"), F.lit(0.0))
-    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), names.alias("licenses"), best.alias("best_coverage"), "spans")
+    return out.select(
+        "doc_id", F.size("spans").cast("long").alias("n_spans"), names.alias("licenses"), F.size(F.filter("spans", claim)).cast("long").alias("n_claims"), best.alias("best_coverage"), "spans"
+    )
