@@ -31,24 +31,43 @@ PRIOR = 0.5
 _CODES = 128
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once: a lambda would work out a column expression for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """Sum of the elements before each one. Sums of 64 elements carry the rest, so no array is built up step by step."""
+    none = F.array().cast("array<int>")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+
+    def bases(own: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 64).cast("int")), lambda c: total(F.slice(own, c * 64 + 1, 64)))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def sums(v: Column) -> Column:
+        return F.transform(v["own"], lambda _, i: F.get(v["bases"], F.floor(i / 64).cast("int")) + total(F.slice(v["own"], i - i % 64 + 1, i % 64)))
+
+    return _bound(lengths, lambda own: F.when(F.size(own) == 0, none).otherwise(_bound(F.struct(own.alias("own"), bases(own).alias("bases")), sums)))
+
+
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """array<start, end, kind order, kind, match> of the leftmost matches that don't overlap, in code points.
 
-    The pieces between the matches and the matches themselves alternate, so a running length gives their places.
-    The array holds only matches; texts without one skip the work.
+    The pieces between the matches and the matches themselves alternate, so running lengths give their places, in
+    time that grows with the text and hardly faster than the matches. Texts without a match skip the work.
     """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    cut = _bound(matches, lambda m: F.zip_with(F.slice(pieces, 1, F.size(m)), m, lambda p, x: F.struct(F.length(p).alias("gap"), F.length(x).alias("size"), x.alias("match"))))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
+        return F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["match"].alias("match"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(step, start, add, lambda acc: acc["spans"])).otherwise(none)
+    placed = _bound(cut, lambda steps: F.zip_with(running(F.transform(steps, lambda x: x["gap"] + x["size"])), steps, span))
+    return F.when(F.regexp_like(text, F.lit(pattern)), placed).otherwise(none)
 
 
 def labelled_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", strings: int = RANDOM_STRINGS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -99,16 +118,12 @@ def ratio(token: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with blanks in place of the spans, which stand in order of start and may overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, rest))
+def masked(text: Column, pattern: str, own=None) -> Column:
+    """The text with blanks in place of the matches, or of those that own() accepts."""
+    blank = lambda x: F.repeat(F.lit(" "), F.length(x))
+    hidden = blank if own is None else lambda x: F.when(own(x), blank(x)).otherwise(x)
+    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(hidden(m), F.lit(""))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(parts, "")).otherwise(text)
 
 
 def parts_of(run: Column, table: Column) -> Column:
@@ -118,15 +133,18 @@ def parts_of(run: Column, table: Column) -> Column:
     or by more than ``DIP`` below its best; each stretch goes as far as its best sum.
     """
     excess = lambda x: ratio(x, table) - LEAST_EACH * F.length(x)
-    pieces = F.regexp_extract_all(run, F.lit("[+/_=-]*[A-Za-z0-9]+"), F.lit(0))
+    found = F.regexp_extract_all(run, F.lit("[+/_=-]*[A-Za-z0-9]+"), F.lit(0))
+    last = lambda x: F.regexp_extract(x, ".$", 0)
+    pieces = _bound(found, lambda x: F.zip_with(x, F.concat(F.array(F.lit("")), F.slice(x, 1, F.size(x) - 1)), lambda own, before: F.struct(own.alias("own"), last(before).alias("before"))))
     none = F.array().cast("array<struct<start:int,end:int>>")
     state = lambda at, start, total, best, end, spans: F.struct(at.alias("at"), start.alias("start"), total.alias("total"), best.alias("best"), end.alias("end"), spans.alias("spans"))
     kept = lambda acc: F.when(acc["best"] > 0, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])
 
-    def add(acc: Column, x: Column) -> Column:
+    def add(acc: Column, piece: Column) -> Column:
+        x = piece["own"]
         core = F.regexp_extract(x, "[A-Za-z0-9]+", 0)
         end = acc["at"] + F.length(x)
-        joined = acc["total"] + excess(F.concat(F.substring(run, F.greatest(acc["at"], F.lit(1)), F.lit(1)), x)) + LEAST_EACH
+        joined = acc["total"] + excess(F.concat(piece["before"], x)) + LEAST_EACH * F.length(piece["before"])
         alone = excess(core)
         goes_on = (acc["best"] > 0) & (joined > 0) & (joined >= acc["best"] - DIP)
         fresh = state(end, end - F.length(core), alone, F.greatest(alone, F.lit(0.0)), end, kept(acc))
@@ -147,6 +165,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     stretches of its pieces between + / _ = - are judged in the same way. Places are code points, ends exclusive; spans stand in order of
     start, then kind.
 
+    What the base spans leave: assignments, then access keys, then hex runs are blanked out. Where two of them overlap,
+    what the second has beyond the first is judged like other text.
+
     Null text is empty. Null ids and repeated rows are rows of their own. An empty table gives no rows. Other columns
     are not read. The scan is one pass over the texts without a shuffle or a Python worker; the models are 16,384
     numbers in the plan.
@@ -155,15 +176,18 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     table = F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in model) + "]"), "array<double>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
+    valued = lambda match: F.length(F.regexp_extract(match, ASSIGN, 2)) >= LEAST_VALUE
     found = rows.select(
         "doc_id",
-        F.filter(spans_of(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST_VALUE).alias("assign"),
+        F.filter(spans_of(text, ASSIGN, "assign"), lambda s: valued(s["match"])).alias("assign"),
         spans_of(text, ACCESS, "access").alias("access"),
         spans_of(text, HEX, "hex").alias("hex"),
         "text",
+        masked(text, ASSIGN, valued).alias("left"),
     )
-    base = found.select("doc_id", "text", F.concat("assign", "access", "hex").alias("base"))
-    base = base.select("doc_id", "base", spans_of(masked(F.col("text"), F.array_sort("base")), CANDIDATE, "markov").alias("candidates"))
+    found = found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), masked(F.col("left"), ACCESS).alias("left"))
+    found = found.select("doc_id", "base", masked(F.col("left"), HEX).alias("left"))
+    base = found.select("doc_id", "base", spans_of(F.col("left"), CANDIDATE, "markov").alias("candidates"))
     random = lambda x: (F.length(x) >= LEAST_LENGTH) & (ratio(x, table) >= F.greatest(F.lit(least_ratio), LEAST_EACH * F.length(x)))
 
     def part(s: Column, x: Column) -> Column:
