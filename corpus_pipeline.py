@@ -16,6 +16,8 @@ from quire.llm.tokenbin import read_tokens, write_tokens
 SIMILARITY = 80
 #: Words of a block of the mix.
 BLOCK_WORDS = 128
+#: Pieces of text that a worker of the last stage remembers; fewer than alone, for four stages have run before.
+PIECES = 150_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: a row for each of its rows."""
     path = scratch_path(spark, "tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, pieces=PIECES)
     return read_tokens(spark, path)
 
 
