@@ -17,6 +17,8 @@ WINDOW = 8
 LITERALS = 5
 #: A passage is a leak if so many words in a row follow an item, or all of a shorter one.
 LEAST_WORDS = 13
+#: Least words of an item that is too short for a window: fewer say nothing of where they come from.
+SHORTEST = 3
 #: Words of benchmark items that one pass holds on each executor (some 100 MB); a larger benchmark takes more passes.
 PASS_WORDS = 1_000_000
 
@@ -149,9 +151,12 @@ class _Finder:
         self.window, self.least, self.canon = window, least, Canon()
         self.parsed = [(item, *self.canon.of(text)) for item, text in items]
         keys, self.where = [np.empty(0, np.uint64)], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # length -> hash of all words -> items
         for i, (_, place, kind, template, own) in enumerate(self.parsed):
-            if not len(place) or place[-1] + 1 < window:
-                continue  # too short to tell anything
+            if len(own) < window:
+                if len(own) >= SHORTEST:
+                    self.short.setdefault(len(own), {}).setdefault(int(gram_hashes(own, len(own))[0]), []).append(i)
+                continue
             plain = np.convolve((kind == LITERAL) | (kind == START), np.ones(window, int), "valid") >= LITERALS
             seen = set()
             for found, kept in ((template, plain), (_named(kind, template), plain), (own, np.ones(len(plain), bool))):
@@ -174,6 +179,12 @@ class _Finder:
     def passages(self, text: str) -> Iterator[tuple]:
         """(item, first word here, first word there, words, coverage, changed slots)."""
         place, kind, template, plain = self.canon.of(text)
+        for length, known in self.short.items():
+            grams = gram_hashes(plain, length)
+            for at in np.nonzero(np.isin(grams, np.fromiter(known, np.uint64, len(known))))[0].tolist():
+                for i in known[int(grams[at])]:
+                    words = int(place[at + length - 1] - place[at]) + 1
+                    yield self.parsed[i][0], int(place[at]), 0, words, 1.0, 0
         grams = np.stack([gram_hashes(x, self.window) for x in (template, _named(kind, template), plain)])
         at, which = np.nonzero(self.sieve[self._low(grams)].T)
         if not len(at):
@@ -232,8 +243,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     ``window`` template words with at least five plain ones, and all windows of the words themselves, are hash-joined;
     a match is extended as far as both templates agree, and cut where its slots clash: one value of the item always
     stands for one value of the text, and back. A passage, the longest stretch without a clash, counts if it runs
-    over ``least_words`` words, or the whole of a shorter item. Passages on two sides of a clash may overlap. Items under ``window`` words can't be told apart and match
-    nothing.
+    over ``least_words`` words, or the whole of a shorter item. Passages on two sides of a clash may overlap. Items under
+    ``window`` words are matched whole and word for word, case and outer punctuation aside; those of one or two words
+    match nothing.
 
     Returns a row for each passage: ``doc_id, item_id``, its first word on both sides, its length, the share of the
     item and the number of slots with another value. Null or empty texts and items hold no passage. Rows with a null

@@ -58,6 +58,8 @@ def test_leaks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(docs, bench).collect()}
     assert set(found) >= {(1, 1), (2, 1), (9, 4), (10, 1)}
+    (short,) = decontam.find_leaks(spark.createDataFrame([(1, "It was TOO short, to tell. Too short to be"), (2, "tell")], "doc_id long, text string"), bench).collect()
+    assert (short.doc_id, short.item_id, short.text_word, short.words, short.coverage) == (1, 2, 2, 4, 1.0)
     assert not {k for k in found if k[0] in (4, 5, 6, 8)}
     assert found[1, 1].coverage == 1.0 and found[1, 1].changed_slots == 0 and found[2, 1].changed_slots >= 4
     assert (3, 1) not in found or found[3, 1].coverage < 1  # one 12 became 13, the other stayed: slots disagree
@@ -163,3 +165,97 @@ def test_notices_with_holders(spark):
     rows = [(1, f"{BASE}. {one} {BASE}"), (2, f"{one}\n{two}"), (3, f"Copyright {BASE} {BASE} All rights reserved.")]
     found = {r.doc_id: [rows[r.doc_id - 1][1][s.start : s.end] for s in r.spans] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: [one[:-1]], 2: [one[:-1], two[:-1]], 3: []}
+
+
+def brute_passages(items, text, window=8, least=13):
+    """Every diagonal of every item is walked; stretches are cut by trying all their ends."""
+    canon = decontam.Canon()
+    place, kind, template, plain = canon.of(text)
+    names, starts = (decontam.NAME, decontam.START), (decontam.LITERAL, decontam.START)
+    named = lambda k, t: [decontam._PLACEHOLDER[decontam.NAME] if x == decontam.START else int(y) for x, y in zip(k, t)]
+    mine = named(kind, template)
+    found = set()
+    for item, content in items:
+        places, kinds, t, p = canon.of(content)
+        theirs, n, m = named(kinds, t), len(plain), len(p)
+        for shift in range(-m + 1, n):
+            agree = [j for j in range(m) if 0 <= j + shift < n and (template[j + shift] == t[j] or plain[j + shift] == p[j] or (kind[j + shift] in names and kinds[j] in names))]
+            runs = []
+            for j in agree:
+                runs.append([j, j + 1]) if not runs or runs[-1][1] < j else runs[-1].__setitem__(1, j + 1)
+            for a, b in runs:
+                def seed(j):
+                    own = range(j, j + window)
+                    dense = sum(kinds[x] in starts for x in own) >= decontam.LITERALS
+                    same = lambda u, v: all(u[x + shift] == v[x] for x in own)
+                    return same(plain, p) or dense and (same(template, t) or same(mine, theirs))
+
+                if not any(seed(j) for j in range(a, b - window + 1)):
+                    continue
+
+                def fits(u, v):
+                    forth, back = {}, {}
+                    return all(
+                        forth.setdefault(p[j], plain[j + shift]) == plain[j + shift] and back.setdefault(plain[j + shift], p[j]) == p[j]
+                        for j in range(u, v) if kind[j + shift] != decontam.LITERAL or plain[j + shift] != p[j]
+                    )
+
+                for u in range(a, b):
+                    v = next(x for x in range(b, u - 1, -1) if fits(u, x))
+                    if v > u and (u == a or not fits(u - 1, v)):
+                        words, total = int(places[v - 1] - places[u]) + 1, int(places[-1]) + 1
+                        if words >= min(least, total):
+                            found.add((item, int(place[u + shift]), int(places[u]), words, int(sum(plain[j + shift] != p[j] for j in range(u, v)))))
+    return found
+
+
+def test_passages_match_brute_force():
+    """Items with numbers, names and units in texts that copy, edit and cut them."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(40)]
+    pick = lambda: rng.choice([rng.choice(words), rng.choice(words), rng.choice(words), str(rng.randint(1, 4)), rng.choice(["Tom", "Ann", "Bo"]), rng.choice(["kg", "miles"]), f"{rng.randint(1, 9)}kg"]) + rng.choice(["", "", "", "", ".", ","])
+    hits = 0
+    for _ in range(120):
+        items = [(i, " ".join(pick() for _ in range(rng.randint(8, 40)))) for i in range(3)]
+        parts = []
+        for _ in range(4):
+            own = rng.choice(items)[1].split()
+            a = rng.randint(0, len(own) - 1)
+            own = own[a : rng.randint(a, len(own))] if rng.random() < 0.4 else own
+            swap = {"Tom": "Zed", "1": "7", "2": "8"} if rng.random() < 0.5 else {}
+            own = [swap.get(w, w) if rng.random() < 0.9 else pick() if rng.random() < 0.5 else w for w in own]
+            parts += own + [pick() for _ in range(rng.randint(0, 5))]
+        text = " ".join(parts)
+        got = {(i, x, y, n, c) for i, x, y, n, _, c in decontam._Finder(items, 8, 13).passages(text)}
+        assert got == brute_passages(items, text)
+        hits += len(got)
+    assert hits > 200
+
+
+def test_license_places_are_those_of_the_text_itself(spark):
+    """Letters that grow in lower case don't move a span; a tag, whole texts and claims are told apart."""
+    mit, bsd, lgpl = licenses.TEMPLATES["MIT-text"][0], licenses.TEMPLATES["BSD-3-Clause"][2], licenses.TEMPLATES["LGPL-3.0"][1]
+    rows = [(1, f"İİİ {mit}"), (2, f"# SPDX-License-Identifier: LGPL-2.1-or-later\n{BASE}"), (3, f"x {bsd} y"), (4, lgpl), (5, "Copyright 2020 Foo Inc. All rights reserved."), (6, "Released under the QED License."), (7, "// SPDX-License-Identifier: GPL-2.0-only")]
+    got = {r.doc_id: [(rows[r.doc_id - 1][1][s.start : s.end], s.license) for s in r.spans] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: [(mit[:-1], "MIT-text")], 2: [("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later")], 3: [(bsd[:-1], "BSD-3-Clause")], 4: [(lgpl[:-1], "LGPL-3.0")],
+        5: [(rows[4][1][:-1], "All-rights-reserved")], 6: [], 7: [("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only")],
+    }
+
+
+def test_many_candidates_in_one_text(spark):
+    import random
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=24)) for _ in range(3000))
+    words = spark.createDataFrame([("ordinary", 0), ("identifier", 0), ("snake_case_name", 0), ("aZ3kQ9xT1bW7", 1), ("Zx81Lq0PmN4t", 1)], "sample string, label int")
+    (row,) = secrets.find_secrets(spark.createDataFrame([(1, "é " + text)], "doc_id long, text string"), samples=words, least_ratio=-1e9).collect()
+    assert len({s.start for s in row.spans}) == len(row.spans) and all(("é " + text)[s.start : s.end] == s.match for s in row.spans)
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 200)] + [([5] * 4097,)]
+    out = spark.createDataFrame(rows, "x array<int>").select("x", secrets.running(F.col("x")).alias("y")).collect()
+    assert all(r.y == [sum(r.x[:i]) for i in range(len(r.x))] for r in out)
