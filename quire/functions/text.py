@@ -15,7 +15,8 @@ WORD = r"[\p{L}\p{N}_]"
 #: Line starts and ends are those of "\n" alone (d), on every line (m).
 HEADING = rf"(?dm)^(#{{1,6}}){WS}+(.+?){WS}*$"
 #: White space with two line breaks parts paragraphs; white space between a stop and a capital parts sentences.
-SEPARATOR = rf"""{WS}*\n{WS}*\n{WS}*|(?<=[.!?]){WS}+(?=[A-Z0-9"'])"""
+PARAGRAPH = rf"{WS}*\n{WS}*\n{WS}*"
+SENTENCE = rf"""(?<=[.!?]){WS}+(?=[A-Z0-9"'])"""
 NUMBER = rf"(?i)(?<!{WORD})(?:[$€£]?\p{{Nd}}[\p{{Nd}},.]*(?:%|{WS}*(?:USD|EUR|GBP))?)(?!{WORD})"
 QUOTATION = r'[“"]([^”"]{2,})[”"]'
 CITATION = rf"(?:\[[^\]]+\]|\([^)]*(?<!{WORD})(?:19|20)\p{{Nd}}{{2}}[^)]*\))"
@@ -107,7 +108,7 @@ def round4(x: Column) -> Column:
     The one-element array binds x to a name, so that its expression is evaluated once and the plan stays small.
     """
 
-    return F.get(F.transform(F.array(x), _round), F.lit(0))
+    return bound(x, _round)
 
 
 def _round(v: Column) -> Column:
@@ -126,6 +127,27 @@ def rounded(col: str, name: str | None = None) -> Column:
     return round4(F.col(col)).alias(name or col)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once: a lambda would work out a column expression for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """Sum of the elements before each one. Sums of 64 elements carry the rest, so no array is built up step by step."""
+    none = F.array().cast("array<int>")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+
+    def bases(own: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 64).cast("int")), lambda c: total(F.slice(own, c * 64 + 1, 64)))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def sums(v: Column) -> Column:
+        return F.transform(v["own"], lambda _, i: F.get(v["bases"], F.floor(i / 64).cast("int")) + total(F.slice(v["own"], i - i % 64 + 1, i % 64)))
+
+    return bound(lengths, lambda own: F.when(F.size(own) == 0, none).otherwise(bound(F.struct(own.alias("own"), bases(own).alias("bases")), sums)))
+
+
 def context_window(text: Column, start: Column, end: Column, reach: int = 300) -> Column:
     """The code points around a span, cut at the text's ends."""
     first = F.greatest(start - reach, F.lit(0))

@@ -4,82 +4,99 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import CONTEXT_LIMIT, MAX_BYTES, SAFETY_RATIO
 from ..functions import text as T
 
 
+#: Most repeated ids that travel to every executor; more meet their documents in a shuffle.
+FEW = 10_000
+
+
 def admit(docs: DataFrame, *, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents to analyse, rejects with a reason): blank, missing and oversized texts are rejected."""
+    """(documents to analyse, rejects with a reason): rows without an id, rows that share one, and blank, missing and
+    oversized texts are rejected.
+
+    A document is what one id names, so rows that repeat an id are all turned away. The ids alone are counted first; if
+    none is repeated, as is usual, no text moves.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("again"))
+    n = again.limit(FEW + 1).count()
+    rows = docs.select("doc_id", "text")
+    rows = rows.join(F.broadcast(again) if n <= FEW else again, "doc_id", "left") if n else rows.withColumn("again", F.lit(False))
     reason = (
-        F.when(F.col("text").isNull(), "text is missing")
-        .when(T.strip(F.col("text")) == "", "document is empty")
-        .when(F.octet_length("text") > max_bytes, "document is too large")
+        F.when(F.col("doc_id").isNull(), "doc_id is missing").when(F.col("again"), "doc_id is repeated").when(F.col("text").isNull(), "text is missing")
+        .when(T.strip(F.col("text")) == "", "document is empty").when(F.octet_length("text") > max_bytes, "document is too large")
     )
-    judged = docs.select("doc_id", "text", reason.alias("reason"))
+    judged = rows.select("doc_id", "text", reason.alias("reason"))
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").select("doc_id", "reason")
 
 
+def _cut(text: Column, pattern: str) -> Column:
+    """array<start, sep, text>: the pieces between matches of pattern with the match before each and the piece's place.
+
+    Pieces and matches alternate, so running lengths give the places without a search.
+    """
+    pieces = F.split(text, pattern, -1)
+    seps = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    rows = F.zip_with(pieces, seps, lambda p, s: F.struct(s.alias("sep"), p.alias("text")))
+    place = lambda at, x: F.struct((at + F.length(x["sep"])).alias("start"), x["sep"].alias("sep"), x["text"].alias("text"))
+    return T.bound(rows, lambda own: F.zip_with(T.running(F.transform(own, lambda x: F.length(x["sep"]) + F.length(x["text"]))), own, place))
+
+
+def _sections(text: Column) -> Column:
+    """array<sec_ord, section_id, title, level, start, body> of a text's sections in order."""
+
+    def section(x: Column, k: Column, n: Column) -> Column:
+        head = lambda group: F.regexp_extract(x["sep"], T.HEADING, group)
+        return F.struct(
+            k.alias("sec_ord"), F.format_string("s_%03d", F.when(n == 1, 1).otherwise(k)).alias("section_id"),
+            F.when(n == 1, "Document").when(k == 0, "Preamble").otherwise(T.strip(head(2))).alias("title"), F.when(k == 0, 1).otherwise(F.length(head(1))).alias("level"),
+            x["start"].alias("start"), x["text"].alias("body"),
+        )
+
+    rows = T.bound(_cut(text, T.HEADING), lambda cut: F.transform(cut, lambda x, k: section(x, k, F.size(cut))))
+    return T.bound(rows, lambda own: F.filter(own, lambda x: (x["sec_ord"] > 0) | (F.size(own) == 1) | (T.strip(x["body"]) != "")))
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """``doc_id, sec_ord, section_id, title, level, start, body`` in document order; body is the raw text.
 
     Headings part the text; what stands before the first is a preamble unless blank, and a text without headings is
-    one section. The pieces between headings and the headings alternate, so running lengths give the places. Texts
-    are dealt by doc_id once, before the costly expressions; the windows here and in ``units`` follow that key.
+    one section. Everything happens inside a document's row, so no text is shuffled.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartition(n, "doc_id")
-    heads = F.regexp_extract_all("text", F.lit(T.HEADING), F.lit(0))
-    cut = dealt.select("doc_id", F.split("text", T.HEADING, -1).alias("bodies"), F.concat(F.array(F.lit("")), heads).alias("heads"))
-    rows = cut.select("doc_id", (F.size("heads") - 1).alias("n"), F.posexplode(F.arrays_zip("heads", "bodies")).alias("k", "x"))
-    rows = rows.select(
-        "doc_id", "n", "k", F.regexp_extract("x.heads", T.HEADING, 1).alias("mark"), F.regexp_extract("x.heads", T.HEADING, 2).alias("title"), F.length("x.heads").alias("head"), F.col("x.bodies").alias("body")
-    )
-    upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("start", F.sum(F.col("head") + F.length("body")).over(upto) - F.length("body"))
-    rows = rows.filter("k > 0 OR n = 0").union(rows.filter("k = 0 AND n > 0").filter(T.strip(F.col("body")) != ""))
-    number = F.when(F.col("n") == 0, 1).otherwise(F.col("k"))
-    return rows.select(
-        "doc_id",
-        F.col("k").alias("sec_ord"),
-        F.format_string("s_%03d", number).alias("section_id"),
-        F.when(F.col("n") == 0, "Document").when(F.col("k") == 0, "Preamble").otherwise(T.strip(F.col("title"))).alias("title"),
-        F.when(F.col("k") == 0, 1).otherwise(F.length("mark")).alias("level"),
-        F.col("start").cast("int").alias("start"),
-        "body",
-    )
+    return docs.select("doc_id", F.inline(_sections(F.col("text"))))
 
 
-def units(found: DataFrame) -> DataFrame:
-    """Sentence units of sections, with ids, places, roles, anchors and token sets.
+def units(docs: DataFrame) -> DataFrame:
+    """Sentence units of documents, with ids, places, roles, anchors and token sets.
 
-    A unit's place needs no search: pieces and separators of the body alternate too. Windows follow doc_id, the key the
-    sections are already dealt by.
+    Sections, paragraphs and sentences are nested arrays of the document's row, which are flattened once: the place in
+    the flat array is the unit's number in the document. No window, no shuffle.
     """
-    body = F.col("body")
-    cut = found.select("doc_id", "sec_ord", "section_id", "title", "start", F.split(body, T.SEPARATOR, -1).alias("pieces"), F.concat(F.array(F.lit("")), F.regexp_extract_all(body, F.lit(T.SEPARATOR), F.lit(0))).alias("seps"))
-    rows = cut.select("doc_id", "sec_ord", "section_id", "title", "start", F.posexplode(F.arrays_zip("pieces", "seps")).alias("k", "x"))
-    rows = rows.select("doc_id", "sec_ord", "section_id", "title", "start", "k", F.col("x.pieces").alias("piece"), F.col("x.seps").alias("sep"))
-    inside = Window.partitionBy("doc_id", "sec_ord").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new_line = (F.length("sep") - F.length(F.translate("sep", "\n", "")) >= 2).cast("int")
-    rows = rows.select(
-        "doc_id", "sec_ord", "section_id", "title", "k", T.strip(F.col("piece")).alias("text"),
-        (F.col("start") + F.sum(F.length("sep") + F.length("piece")).over(inside) - F.length("piece") + F.length("piece") - F.length(F.regexp_replace("piece", rf"\A{T.WS}+", ""))).cast("int").alias("char_start"),
-        F.sum(new_line).over(inside).alias("breaks"),
-    ).filter("text <> ''")
-    whole = Window.partitionBy("doc_id", "sec_ord")
-    rows = rows.withColumn("paragraph_index", (F.col("breaks") - F.min("breaks").over(whole)).cast("int"))
-    rows = rows.withColumn("sentence_index", (F.row_number().over(Window.partitionBy("doc_id", "sec_ord", "paragraph_index").orderBy("k")) - 1).cast("int"))
+
+    def sentences(s: Column, paragraph: Column, index: Column) -> Column:
+        own = F.filter(F.transform(_cut(paragraph["text"], T.SENTENCE), lambda x: F.struct(x["text"].alias("raw"), x["start"].alias("start"), T.strip(x["text"]).alias("text"))), lambda x: x["text"] != "")
+        lead = lambda x: F.length(x["raw"]) - F.length(F.regexp_replace(x["raw"], rf"\A{T.WS}+", ""))
+        return F.transform(own, lambda x, i: F.struct(
+            s["section_id"].alias("section_id"), s["title"].alias("section_title"), index.alias("paragraph_index"), i.alias("sentence_index"),
+            (s["start"] + paragraph["start"] + x["start"] + lead(x)).alias("char_start"), x["text"].alias("text"),
+        ))
+
+    def paragraphs(s: Column) -> Column:
+        own = F.filter(_cut(s["body"], T.PARAGRAPH), lambda p: T.strip(p["text"]) != "")
+        return F.flatten(F.transform(own, lambda p, i: sentences(s, p, i)))
+
+    rows = docs.select("doc_id", F.posexplode(F.flatten(F.transform(_sections(F.col("text")), paragraphs))).alias("ord", "u")).select("doc_id", "ord", "u.*")
     rows = rows.withColumn("normalized_text", T.normalise(F.col("text"))).withColumn("role", T.discourse_role(F.col("text")))
     rows = rows.withColumn("tokens", T.tokens(F.col("normalized_text"))).withColumn("content", T.content(F.col("tokens")))
     ident = F.sha2(F.concat_ws("|", "section_id", "paragraph_index", "sentence_index", "normalized_text"), 256)
     return rows.select(
         "doc_id",
-        (F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_ord", "k")) - 1).alias("ord"),
+        "ord",
         F.concat(F.lit("u_"), F.substring(ident, 1, 12)).alias("unit_id"),
         "section_id",
-        F.col("title").alias("section_title"),
+        "section_title",
         "paragraph_index",
         "sentence_index",
         "char_start",
@@ -87,7 +104,7 @@ def units(found: DataFrame) -> DataFrame:
         "text",
         "normalized_text",
         "role",
-        T.local_function(F.col("title"), F.col("role")).alias("function"),
+        T.local_function(F.col("section_title"), F.col("role")).alias("function"),
         T.numbers(F.col("text")).alias("numbers"),
         T.quotations(F.col("text")).alias("quotations"),
         T.citations(F.col("text")).alias("citations"),

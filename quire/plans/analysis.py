@@ -42,16 +42,16 @@ class Analysis:
         return I.complexity(self.documents, self.resource_plan, self.sections, self.units, self.plan)
 
 
-def analyse(docs: DataFrame, *, context_limit: int = CONTEXT_LIMIT, safety_ratio: float = SAFETY_RATIO, candidate_threshold: float = CANDIDATE_THRESHOLD, keep=stored) -> Analysis:
+def analyse(docs: DataFrame, *, context_limit: int = CONTEXT_LIMIT, safety_ratio: float = SAFETY_RATIO, candidate_threshold: float = CANDIDATE_THRESHOLD, keep=stored, admitted: bool = False) -> Analysis:
     """Analyse ``doc_id, text``.
 
     keep: what to do with tables that several later ones read. Sections, units, edges, members and family units are
     each read by three tables or more, so by default they are written once to the shared folder; the rest stays lazy.
+    admitted: docs have been through ``ledger.admit``.
     """
-    good, bad = ledger.admit(docs)
-    whole = ledger.sections(good)
-    units = keep(ledger.units(whole))
-    found = keep(whole.drop("body"))
+    good, bad = (docs.select("doc_id", "text"), docs.select("doc_id", F.lit("").alias("reason")).limit(0)) if admitted else ledger.admit(docs)
+    units = keep(ledger.units(good))
+    found = keep(ledger.sections(good).drop("body"))
     edges = keep(relate.candidate_edges(units, candidate_threshold))
     members = keep(relate.family_members(edges))
     families, own = relate.families(units, edges, members)

@@ -21,7 +21,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plain_units(spark, sf_dir):
-    return ledger.units(ledger.sections(ledger.admit(_docs(spark, sf_dir))[0]))
+    return ledger.units(ledger.admit(_docs(spark, sf_dir))[0])
 
 
 def _sections(spark, sf_dir):
@@ -29,7 +29,7 @@ def _sections(spark, sf_dir):
 
 
 def _units(spark, sf_dir):
-    return ledger.units(_sections(spark, sf_dir))
+    return ledger.units(ledger.admit(ledger.sectionise(_docs(spark, sf_dir)))[0])
 
 
 def _analysis(spark, sf_dir):
@@ -85,7 +85,7 @@ def _marked(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(line, F.get(marks, i % len(T.ROLE_MARKERS))))
     docs = ledger.sectionise(docs.select("doc_id", F.array_join(lines, "\n").alias("text")))
-    return ledger.units(ledger.sections(docs))
+    return ledger.units(docs)
 
 
 def _anchored(spark, sf_dir):
@@ -93,7 +93,7 @@ def _anchored(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = F.concat(F.lit(' The "Record '), F.col("doc_id"), F.lit('" kept $'), F.col("n_chars"), F.lit(".50 and 12% of "), F.col("source"), F.lit(" in Open Data Set (Smith 2024) [see "), F.col("doc_id"), F.lit("]."))
     docs = rows.select("doc_id", F.concat(F.regexp_replace(F.get(F.split("text", "\n", 2), F.lit(0)), "[^A-Za-z ]", ""), F.lit("."), extra).alias("text"))
-    return ledger.units(ledger.sections(docs))
+    return ledger.units(docs)
 
 
 def anchors_numbers(spark, sf_dir):
