@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, worker_state
+from .common import released, small_batches, worker_state
 from .tokenbin import PieceEncoder, tokenizer_path
 
 BUDGET = 1024
@@ -174,6 +174,7 @@ def format_chats(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTO
     """
     with open(tokenizer or tokenizer_path(), encoding="utf-8") as f:
         run = released(_windows(budget, history, targets, f.read()))
+    small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(run, _SCHEMA)

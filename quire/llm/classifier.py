@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, released
+from .common import BLANKS, released, small_batches
 
 BITS = 15
 RANK = 8
@@ -127,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     fit, however often its label or its document is repeated: its least label counts, and of its documents the one whose
     features come first.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out("doc_id"))
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("own_id")).agg(F.min("quality").cast("int").alias("own_label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(23), F.col("own_id")), "own_id").limit(max_train)

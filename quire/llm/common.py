@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -142,13 +141,9 @@ def worker_state(key: str, make):
     return held[key]
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Fewer rows in an Arrow batch while an action over whole texts runs: less memory beside a worker's tables."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, for the rows are whole texts: a batch stands in the executor's
+    direct memory and in the worker's at once, beside the worker's tables. A session that has a value of its own keeps it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)

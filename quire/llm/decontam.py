@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, released
+from .common import gram_hashes, released, small_batches
 
 WINDOW = 8
 #: Least number of plain words in a window that can tie a text to an item.
@@ -254,6 +254,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     The texts are read in one pass without a shuffle. The item side is a broadcast hash table of at most
     ``PASS_WORDS`` words; the driver counts the benchmark's words first and a larger one takes several passes.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for part in _parts(benchmark, item_col):
@@ -292,6 +293,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
         return run
 
+    small_batches(docs.sparkSession)
     for part in _parts(benchmark, item_col):
         docs = docs.mapInArrow(released(clean(part)), schema)
     return docs

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, gram_hashes, released
+from .common import HashCache, gram_hashes, released, small_batches
 
 #: Notices and texts of public licenses, as their owners publish them. Of the longest licenses the parts
 #: that stand at their start.
@@ -247,6 +247,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no span. Null ids and repeated rows are rows of their own. An empty table gives no
     rows. Other columns are not read. One pass, no shuffle; the templates travel with the tasks (some 15 KB).
     """
+    small_batches(docs.sparkSession)
     made = [(name, text) for name, texts in (TEMPLATES if templates is None else templates).items() for text in texts]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(released(_scanner(made, coverage)), "doc_id long, spans array<struct<license:string,start:long,end:long,coverage:double>>")

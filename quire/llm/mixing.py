@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, released, word_count
+from .common import materialise, released, small_batches, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -239,6 +239,7 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     numbers = F.struct("start", "size", "n_blocks", "base", "rest", "mul", "add")
     plan = plan.filter("taken > 0").groupBy("doc_id", "size").agg(F.min(numbers).alias("plan"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("key"), word_count(F.col(text_col)).alias("words"))
+    small_batches(docs.sparkSession)
     joined = whole.join(plan.hint("shuffle_hash"), whole["key"].eqNullSafe(plan["doc_id"]) & (whole["words"] == plan["size"])).select("doc", "plan")
     return joined.mapInArrow(released(_writer(block_words, docs.columns, text_col)), docs.schema)
 

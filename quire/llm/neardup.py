@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HashCache, binary_rows, discard, gram_hashes, materialise, released
+from .common import HashCache, binary_rows, discard, gram_hashes, materialise, released, small_batches
 from .graph import components
 
 SHINGLE = 5
@@ -350,6 +350,7 @@ def near_duplicates(
        a task of its own that counts all intersections from the block's postings and returns a spanning forest, at
        most a row for each document. No task grows with a cluster. Last, forests of several blocks are joined.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = materialise(rows.mapInArrow(released(_sketcher(shingle, trees, depth, seed)), "id long, n long, key binary, sig binary"), "sketches")
     known = sketches.filter("key IS NOT NULL AND id IS NOT NULL")

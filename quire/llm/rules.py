@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, HashCache, gram_hashes, materialise, released
+from .common import BLANKS, HashCache, gram_hashes, materialise, released, small_batches
 
 SYMBOLS = "#*$%&|<>"
 #: rule -> its measure, a ratio of the counts below (0 for empty texts). A text fails a rule if its measure is above the cutoff.
@@ -88,6 +88,7 @@ def _counter() -> Callable:
 
 def text_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """Counts of every whole text; null text counts as empty."""
+    small_batches(docs.sparkSession)
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), stratum.alias("stratum"))
     return rows.mapInArrow(released(_counter()), "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))

@@ -260,8 +260,8 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     chunks = rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
-    with small_batches(docs.sparkSession):
-        chunks.write.option("maxRecordsPerFile", CHUNKS_A_FILE).text(path)
+    small_batches(docs.sparkSession)
+    chunks.write.option("maxRecordsPerFile", CHUNKS_A_FILE).text(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
