@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.classifier import keep_good
 from quire.llm.common import materialise, scratch_path
@@ -26,9 +27,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
+    """The document with the smallest id of every group of near copies; of rows with one id and text, one.
+
+    Null and empty texts and rows without an id have no copies but equal rows. An empty table gives no rows.
+    """
     dropped = near_duplicates(docs, percent=SIMILARITY).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("version"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.join(dropped.hint("shuffle_hash"), F.col("key") == F.col("doc_id"), "left_anti")
+    again = F.row_number().over(Window.partitionBy("key", "version").orderBy(F.lit(0)))
+    return rows.withColumn("again", again).filter((F.col("again") == 1) | F.col("key").isNull()).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
