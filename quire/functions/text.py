@@ -38,8 +38,7 @@ def tokens(normalised: Column) -> Column:
 
 
 def content(token_set: Column) -> Column:
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(token_set, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(F.array_except(token_set, F.array(*map(F.lit, STOPWORDS))), lambda t: F.length(t) > 2)
 
 
 def _concept_map() -> Column:
@@ -50,7 +49,9 @@ def _concept_map() -> Column:
 def concepts(content_set: Column) -> Column:
     """Content words with the words of a synonym group replaced by the group's name."""
     known = _concept_map()
-    return F.array_sort(F.array_distinct(F.transform(content_set, lambda t: F.coalesce(F.try_element_at(known, t), t))))
+    some = F.arrays_overlap(content_set, F.array(*[F.lit(word) for group in CONCEPT_GROUPS for word in group.split()]))
+    named = F.array_sort(F.array_distinct(F.transform(content_set, lambda t: F.coalesce(F.try_element_at(known, t), t))))
+    return F.when(some, named).otherwise(content_set)  # the set is sorted already
 
 
 def concept_display(concept: Column) -> Column:
@@ -108,16 +109,21 @@ def round4(x: Column) -> Column:
     The one-element array binds x to a name, so that its expression is evaluated once and the plan stays small.
     """
 
-    return bound(x, _round)
+    return round_to(x, 4)
 
 
-def _round(v: Column) -> Column:
-    floor = F.floor(v * 10000.0).cast("bigint")
+def round_to(x: Column, places: int) -> Column:
+    """Python's round to so many places, at most four."""
+    return bound(x, lambda v: _round(v, 10**places))
+
+
+def _round(v: Column, ten: int = 10_000) -> Column:
+    floor = F.floor(v * float(ten)).cast("bigint")
 
     def by(scale: int) -> Column:
-        twice = (v * float(scale)).cast("bigint").cast("decimal(20,0)") * F.lit(20000).cast("decimal(6,0)")
+        twice = (v * float(scale)).cast("bigint").cast("decimal(20,0)") * F.lit(2 * ten).cast("decimal(6,0)")
         middle = (2 * floor + 1).cast("decimal(15,0)") * F.lit(Decimal(scale)).cast("decimal(22,0)")
-        return (floor + F.when(twice > middle, 1).when(twice < middle, 0).otherwise(floor % 2)) / 10000.0
+        return (floor + F.when(twice > middle, 1).when(twice < middle, 0).otherwise(floor % 2)) / float(ten)
 
     return F.when(v < 0.0009765625, by(2**72)).when(v <= 1.0, by(2**62)).when(v < 2000.0, by(2**52)).otherwise(by(2**42))
 
@@ -161,7 +167,18 @@ def splice(text: Column, edits: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x * 100)
+    """A share as Python's .1% shows it: the exact binary value decides, ties go to even."""
+    return F.format_string("%.1f%%", round_to(x * 100, 1))
+
+
+def two_places(x: Column) -> Column:
+    """A number as Python's .2f shows it."""
+    return F.format_string("%.2f", round_to(x, 2))
+
+
+def word_count(text: Column) -> Column:
+    """Number of white-space separated words; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\t-\r\x1c-\x20\x85\p{Z}]+")), F.lit(0))
 
 
 def canonical_hash(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Strict validators of model messages: raw JSON tables against the analysis they speak about.
 
-Every gate takes messages ``doc_id, family_id, body`` and returns them with ``error``: null for an accepted message, else
-the first rule that it breaks, in a fixed order. A body that is no JSON of the expected shape is an error of its own.
+Every gate takes messages ``doc_id, family_id, body`` and returns them, whatever other columns they have, with the parsed
+message ``m`` and ``error``: null for an accepted message, else the first rule that it breaks, in a fixed order. A body that is no JSON of the expected shape is an error of its own.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ def _listed(a: Column) -> Column:
     return F.when(F.size(a) == 0, "[]").otherwise(F.concat(F.lit("['"), F.array_join(F.array_sort(a), "', '"), F.lit("']")))
 
 
+# The texts of the rules below.
 def _first(*rules: tuple[Column, Column | str]) -> Column:
     """The text of the first rule that a message breaks; a rule that can't be evaluated is a broken shape."""
     out = [F.when(F.coalesce(broken, F.lit(True)), F.lit(text) if isinstance(text, str) else text) for broken, text in rules]
@@ -108,7 +109,7 @@ def adjudications(messages: DataFrame, context: DataFrame) -> DataFrame:
         (~F.array_contains("titles", F.col("m.centre_section")), "Adjudication selected a gravity centre that does not exist"),
         (~F.exists("members", lambda u: u["section_title"] == F.col("m.centre_section")), "Adjudication selected a gravity centre with no family occurrence"),
     )
-    return rows.select("doc_id", "family_id", "body", "m", error)
+    return rows.select(*messages.columns, "m", error)
 
 
 def proposals(messages: DataFrame, context: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def proposals(messages: DataFrame, context: DataFrame) -> DataFrame:
         (F.size(stray) > 0, F.concat(F.lit("Hard-anchor inventory mismatch for "), F.get(stray["unit_id"], F.lit(0)))),
         (_differ(F.col("m.changed_unit_ids"), changed), "changed_unit_ids does not match the actual proposal scope"),
     )
-    return rows.select("doc_id", "family_id", "body", "m", error)
+    return rows.select(*messages.columns, "m", error)
 
 
 def _all_true(checks: Column, names: list[str]) -> Column:
@@ -156,7 +157,7 @@ def verifications(messages: DataFrame, context: DataFrame) -> DataFrame:
         (_differ(ids, F.col("unit_ids")) | _twice(ids), "Semantic verification does not reconcile every family unit exactly once"),
         ((F.col("m.overall") == "passed") & (~sound | (F.size("m.failures") > 0)), "Semantic verifier claimed pass despite a failed check"),
     )
-    return rows.select("doc_id", "family_id", "body", "m", error)
+    return rows.select(*messages.columns, "m", error)
 
 
 def global_verifications(messages: DataFrame, units: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def global_verifications(messages: DataFrame, units: DataFrame) -> DataFrame:
         (_twice(ids) | _differ(ids, F.col("unit_ids")), mismatch),
         ((F.col("m.overall") == "passed") & (~sound | (F.size("m.failures") > 0)), "Global semantic verifier claimed pass despite a failed check"),
     )
-    return rows.select("doc_id", "body", "m", error)
+    return rows.select(*messages.columns, "m", error)
 
 
 def response_text(response: Column) -> tuple[Column, Column]:

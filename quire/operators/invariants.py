@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import PROTECTED
 from ..functions import text as T
@@ -103,6 +104,7 @@ def pass_metrics(passes: DataFrame, units: DataFrame, decisions: DataFrame, meas
     )
 
 
+# The messages that a continuation decision carries.
 REASONS = {
     "STOP_NOT_VERIFIED": "A critical invariant or ledger-coverage check failed; the document must roll back or enter human review.",
     "STOP_HUMAN_REVIEW": "Expected consolidation benefit no longer exceeds the measured conservation risk.",
@@ -114,6 +116,12 @@ REASONS = {
 }
 
 
+def with_previous(metrics: DataFrame) -> DataFrame:
+    """Pass metrics with ``previous_burden``, the burden of the document's pass before; null for its first."""
+    before = F.lag("repetition_burden").over(Window.partitionBy("doc_id").orderBy("pass_number"))
+    return metrics.withColumn("previous_burden", before)
+
+
 def continuation(metrics: DataFrame) -> DataFrame:
     """Whether another pass is due.
 

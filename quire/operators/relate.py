@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,17 +51,29 @@ def all_pairs(units: DataFrame) -> DataFrame:
     return _score(pairs.selectExpr("*", "size(array_intersect(left.content, right.content)) AS raw", "size(array_intersect(left.concepts, right.concepts)) AS con"))
 
 
-def blocked_pairs(units: DataFrame) -> DataFrame:
+#: The highest composite that a pair met can reach, from its shared concepts and the sides' sizes alone. Words of a side
+#: that are fewer as concepts can add to the shared words; anchors count by their number, roles are known.
+_BEST = f"""0.35D * ({_overlap("least(a.words, b.words, con + least(a.words - a.themes, b.words - b.themes))", "a.words", "b.words")})
+  + 0.35D * ({_overlap("con", "a.themes", "b.themes")})
+  + 0.15D * (CASE WHEN a.anchors + b.anchors = 0 THEN 0.5D WHEN a.anchors = 0 OR b.anchors = 0 THEN 0D ELSE least(a.anchors, b.anchors) / CAST(greatest(a.anchors, b.anchors) AS DOUBLE) END)
+  + (CASE WHEN a.role = b.role THEN 0.15D ELSE 0.0525D END)"""
+
+
+def blocked_pairs(units: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Evidence of the pairs that share a concept: all that can reach a threshold above 0.30, for anchors and roles
     give at most that much.
 
-    Units meet on (document, concept); the join carries only places, and the wide rows are fetched once for each pair
-    that was found. Very common concepts of a large document are the costly keys: adaptive execution splits them.
+    Units meet on (document, concept); the join carries places and a few sizes. Pairs whose shared concepts can't
+    bring them to the threshold go before the wide rows are fetched. Very common concepts of a large document are the
+    costly keys: adaptive execution splits them.
     """
     side = _sides(units)
-    held = side.select("doc_id", "ord", F.explode("concepts").alias("concept"))
-    met = held.alias("a").join(held.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.concept") == F.col("b.concept")) & (F.col("a.ord") < F.col("b.ord")))
-    met = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.ord").alias("l"), F.col("b.ord").alias("r")).agg(F.count("*").cast("int").alias("con"))
+    sizes = F.struct("ord", F.size("content").alias("words"), F.size("concepts").alias("themes"), F.size("hard").alias("anchors"), "role")
+    held = side.select("doc_id", sizes.alias("u"), F.explode("concepts").alias("concept"))
+    left, right = held.select("doc_id", "concept", F.col("u").alias("a")), held.select("doc_id", "concept", F.col("u").alias("b"))
+    met = left.join(right, ["doc_id", "concept"]).filter("a.ord < b.ord").groupBy("doc_id", "a", "b").agg(F.count("*").cast("int").alias("con"))
+    # the margin is for the sums' last digits and for rounding to four places
+    met = met.filter(f"{_BEST} >= {threshold - 0.0001}D").select("doc_id", F.col("a.ord").alias("l"), F.col("b.ord").alias("r"), "con")
     row = F.struct("ord", "unit_id", "content", "concepts", "hard", "role")
     left = side.select("doc_id", F.col("ord").alias("l"), row.alias("left"))
     right = side.select("doc_id", F.col("ord").alias("r"), row.alias("right"))
@@ -69,7 +83,7 @@ def blocked_pairs(units: DataFrame) -> DataFrame:
 
 def candidate_edges(units: DataFrame, threshold: float = CANDIDATE_THRESHOLD) -> DataFrame:
     """Pairs whose rounded composite reaches the threshold."""
-    pairs = blocked_pairs(units) if threshold > WITHOUT_CONCEPT else all_pairs(units)
+    pairs = blocked_pairs(units, threshold) if threshold > WITHOUT_CONCEPT else all_pairs(units)
     return pairs.filter(F.col("composite") >= threshold)
 
 
@@ -98,14 +112,25 @@ def _cliques(edges: list[tuple[int, int]]) -> Iterator[list[int]]:
             part |= more
             front += more
         unseen -= part
+        rank = {u: (-len(near[u]), u) for u in part}
+        heap = sorted(rank.values())
         while part:
-            rank = {u: (-len(near[u] & part), u) for u in part}
-            seed = min(part, key=rank.__getitem__)
+            best = heapq.heappop(heap)
+            seed = best[1]
+            if seed not in part or rank[seed] != best:
+                continue  # left already, or has lost neighbours since
             group = {seed}
-            for u in sorted(near[seed] & part, key=rank.__getitem__):
-                if group <= near[u]:
+            fits = near[seed] & part
+            for u in sorted(fits, key=rank.__getitem__):
+                if u in fits:
                     group.add(u)
+                    fits &= near[u]
             part -= group
+            # only neighbours of those that left have other ranks now
+            lost = Counter(v for u in group for v in near[u] if v in part)
+            for v, n in lost.items():
+                rank[v] = (rank[v][0] + n, v)
+                heapq.heappush(heap, rank[v])
             if len(group) > 1:
                 yield sorted(group)
 
@@ -191,6 +216,13 @@ def pair_evidence(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "emission").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("pair_evidence"))
 
 
+def family_means(pairs: DataFrame) -> DataFrame:
+    """``doc_id, emission, pairs, mean_composite`` of each family, summed in order of the pairs."""
+    listed = pairs.groupBy("doc_id", "emission").agg(F.array_sort(F.collect_list(F.struct("left_ord", "right_ord", "composite"))).alias("x"))
+    mean = listed.withColumn("mean", F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v["composite"]) / F.size("x"))
+    return mean.select("doc_id", "emission", F.size("x").cast("long").alias("pairs"), T.rounded("mean", "mean_composite"))
+
+
 def exact_repeats(units: DataFrame) -> DataFrame:
     """Sentences that recur word for word in a document and have content words."""
     return units.filter(F.size("content") > 0).groupBy("doc_id", "normalized_text").agg(F.count("*").alias("occurrences"), F.min("ord").alias("first_ord"), F.count_distinct("section_title").alias("titles")).filter("occurrences > 1")

@@ -59,6 +59,11 @@ def prepare(a: Analysis, families: DataFrame | None = None) -> DataFrame:
     )
 
 
+def public(transactions: DataFrame) -> DataFrame:
+    """Transactions as they may leave the engine: without any text, the revised document as its hash."""
+    return transactions.withColumn("revised_sha256", F.sha2("revised_document", 256)).drop("donors", "receiver", "revised_document")
+
+
 def checks_pass():
     """All checks of a transaction row."""
     out = (F.col("semantic_adjudication") == "passed") & (F.size("failures") == 0)

@@ -95,7 +95,7 @@ def plan(families: DataFrame, found: DataFrame, choice: DataFrame, counts: DataF
     risk = "0.3D * (partial / n) + 0.25D * (size(sections) / CAST(greatest(1, n_sections) AS DOUBLE)) + 0.25D * (review / n) + 0.2D * least(1D, n / CAST(greatest(2, n_units) AS DOUBLE))"
     rows = rows.withColumn("raw", F.expr(risk)).withColumn("risk_score", T.rounded("raw"))
     band = F.when(F.col("risk_score") < 0.25, "low").when(F.col("risk_score") < 0.5, "moderate").otherwise("high")
-    two = lambda c: F.format_string("%.2f", F.expr(f"bround({c}, 2)"))
+    two = lambda c: T.two_places(F.col(c))
     rival = F.when(F.col("competing_centre").isNull(), " It is the only functionally competent candidate section.").otherwise(
         F.concat(F.lit(" It scored "), two("centre_score"), F.lit(" versus "), two("competing_score"), F.lit(" for "), "competing_centre", F.lit("."))
     )
