@@ -81,8 +81,21 @@ def write_results(a: Analysis, path: str) -> None:
     results(a).select(F.col("result").alias("value")).write.text(path)
 
 
-def release_gate(documents: DataFrame) -> DataFrame:
-    """Documents of a certified run that may be published: eligible, changed or not, with no open reason."""
-    checks = {"has_text": F.length("revised_text") > 0, "formal": F.col("formal_status").startswith("FORMAL_GATES_PASSED"), "semantic": F.col("semantic_status") == "PASSED", "no_reasons": F.size("reasons") == 0, "eligible": F.col("eligible")}
-    rows = documents.select("*", *(c.alias(f"gate_{n}") for n, c in checks.items()))
-    return rows.filter(" AND ".join(f"gate_{n}" for n in checks))
+#: What a document must show before it is published.
+RELEASE = {
+    "eligible": "eligible", "label": "label = 'VERIFIED'", "ledger_covered": "ledger_coverage = 1", "nothing_unresolved": "unresolved_occurrences = 0", "no_anchor_lost": "size(missing_hard_anchors) = 0",
+    "semantic_passed": "semantic_status = 'PASSED'", "repaired": "repairs > 0",
+}
+
+
+def release_gate(documents: DataFrame, report: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The documents of a certified run with a column ``gate_<name>`` for each of seven checks and ``released``, all of them."""
+    repairs = transactions.filter("state = 'committed'").groupBy("doc_id").agg(F.count("*").alias("repairs"))
+    rows = documents.join(report.select("doc_id", "ledger_coverage", "unresolved_occurrences", "missing_hard_anchors"), "doc_id", "left").join(repairs, "doc_id", "left").withColumn("repairs", F.coalesce("repairs", F.lit(0)))
+    rows = rows.select("*", *(F.coalesce(F.expr(c), F.lit(False)).alias(f"gate_{n}") for n, c in RELEASE.items()))
+    return rows.withColumn("released", F.expr(" AND ".join(f"gate_{n}" for n in RELEASE)))
+
+
+def publish(gated: DataFrame, path: str) -> None:
+    """The revised texts of released documents, one file for each document under a folder of its id."""
+    gated.filter("released").select(F.col("doc_id"), F.col("revised_text").alias("value")).repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\0").text(path)

@@ -1,31 +1,57 @@
-"""Lineage cuts in the folder that all executors share."""
+"""Tables in the folder that all executors share: lineage is cut there, and nothing is computed again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+from contextlib import contextmanager
 
+from pyspark.sql import DataFrame, SparkSession
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written to ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        from tempfile import gettempdir
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{gettempdir()}/quire-checkpoints")
-    return df.checkpoint()
-
+#: Paths stored inside each open ``passing``.
+_open: list[list[str]] = []
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: a short plan, column pruning for its several readers,
-    and nothing to compute again when an executor is lost."""
-    import uuid
 
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder only where that is unset in local mode."""
+    sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         from tempfile import gettempdir
 
         root = f"file://{gettempdir()}/quire-checkpoints"
-    path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: a short plan, column pruning for its several readers,
+    and nothing to compute again when an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/quire-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_quire_path"] = path
+    return out
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """What is stored inside goes at the end, but for the tables put on the list it gives: what later plans still read."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        own, stay = _open.pop(), {df.__dict__.get("_quire_path") for df in kept}
+        drop(spark, [p for p in own if p not in stay])
+        if _open:
+            _open[-1].extend(p for p in own if p in stay)

@@ -107,7 +107,53 @@ def test_certification(spark, partial):
     out = hybrid_pass(partial.filter("doc_id = 3"), transport=replies(a, {3: "preserve_in_place"}), global_messages=heard)
     (r,) = out.documents.collect()
     assert r.eligible and r.semantic_status == "PASSED" and r.label == "VERIFIED" and r.model_status == "COMPLETE" and not r.reasons
-    assert D.release_gate(out.documents).count() == 1
+    (gated,) = D.release_gate(out.documents, out.report, out.transactions).collect()
+    assert [n for n in D.RELEASE if not gated[f"gate_{n}"]] == ["repaired"] and not gated.released  # sound, but nothing was changed
+
+
+def test_release_of_repaired_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, f"# Background\n\n{S1}\n\n# Analysis\n\n{S1}")], "doc_id long, text string")
+    units = [r.unit_id for r in analyse(docs).units.collect()]
+    body = dict(unit_checks=[dict(unit_id=u, **dict.fromkeys(gates.GLOBAL_UNIT_BOOLEANS, True), rationale="x") for u in units], **dict.fromkeys(gates.GLOBAL_BOOLEANS, True), overall="passed", failures=[])
+    asked = []
+
+    def transport(rows):  # reviews whole documents when asked; there is no family to ask for
+        found = rows.collect()
+        asked.extend(r.kind for r in found)
+        said = json.dumps({"output_text": json.dumps(body)})
+        return rows.sparkSession.createDataFrame([(r.doc_id, r.family_id, r.kind, said, None) for r in found], "doc_id long, family_id string, kind string, response string, error string")
+
+    out = hybrid_pass(docs, transport=transport)
+    gated = D.release_gate(out.documents, out.report, out.transactions)
+    assert asked == ["global"] and [r.released for r in gated.collect()] == [True]
+    D.publish(gated, f"file://{tmp_path}/out")
+    (file,) = (tmp_path / "out" / "doc_id=1").glob("part-*")
+    assert "See Analysis for the canonical treatment" in file.read_text()
+
+
+def test_model_families_and_failing_transports(spark, partial):
+    from quire.plans.hybrid import model_families
+    from quire.sources.transport import per_partition
+
+    docs = partial.filter("doc_id = 1")
+    a = analyse(docs)
+    wanted = a.plan.select("doc_id", "family_id")
+    audits, made, report = model_families(docs, wanted, replies(a, {1: "convert_to_cross_reference"}))
+    assert [r.status for r in audits.collect()] == ["COMMITTED"] and made.count() == 1 and "text" not in audits.columns
+    assert [(r.doc_id, r.ledger_coverage) for r in report.collect()] == [(1, 1.0)]
+
+    def broken():
+        def ask(request):
+            import urllib.error
+
+            raise urllib.error.URLError("no route")
+
+        return ask
+
+    audits, _ = model_step(a, docs, wanted, per_partition(broken))
+    assert [(r.status, "no route" in r.reason) for r in audits.collect()] == [("ROLLED_BACK", True)]
+    audits, _ = model_step(a, docs, wanted, per_partition(lambda: lambda request: "no json"))
+    assert ["Model transport failure" in r.reason for r in audits.collect()] == [True]
 
 
 def test_replay(spark, partial):
