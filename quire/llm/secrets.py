@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound, running
+
 #: The base patterns. Hex and access keys need no check after the match: a run that is too short
 #: holds no longer one. Assignments keep the pattern without a limit and drop short values afterwards.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,27 +33,6 @@ PRIOR = 0.5
 _CODES = 128
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with value worked out once: a lambda would work out a column expression for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(lengths: Column) -> Column:
-    """Sum of the elements before each one. Sums of 64 elements carry the rest, so no array is built up step by step."""
-    none = F.array().cast("array<int>")
-    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
-
-    def bases(own: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 64).cast("int")), lambda c: total(F.slice(own, c * 64 + 1, 64)))
-        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-    def sums(v: Column) -> Column:
-        return F.transform(v["own"], lambda _, i: F.get(v["bases"], F.floor(i / 64).cast("int")) + total(F.slice(v["own"], i - i % 64 + 1, i % 64)))
-
-    return _bound(lengths, lambda own: F.when(F.size(own) == 0, none).otherwise(_bound(F.struct(own.alias("own"), bases(own).alias("bases")), sums)))
-
-
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """array<start, end, kind order, kind, match> of the leftmost matches that don't overlap, in code points.
 
@@ -60,13 +41,13 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,match:string>>")
-    cut = _bound(matches, lambda m: F.zip_with(F.slice(pieces, 1, F.size(m)), m, lambda p, x: F.struct(F.length(p).alias("gap"), F.length(x).alias("size"), x.alias("match"))))
+    cut = bound(matches, lambda m: F.zip_with(F.slice(pieces, 1, F.size(m)), m, lambda p, x: F.struct(F.length(p).alias("gap"), F.length(x).alias("size"), x.alias("match"))))
 
     def span(at: Column, x: Column) -> Column:
         begin = at + x["gap"]
         return F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["match"].alias("match"))
 
-    placed = _bound(cut, lambda steps: F.zip_with(running(F.transform(steps, lambda x: x["gap"] + x["size"])), steps, span))
+    placed = bound(cut, lambda steps: F.zip_with(running(F.transform(steps, lambda x: x["gap"] + x["size"])), steps, span))
     return F.when(F.regexp_like(text, F.lit(pattern)), placed).otherwise(none)
 
 
@@ -135,7 +116,7 @@ def parts_of(run: Column, table: Column) -> Column:
     excess = lambda x: ratio(x, table) - LEAST_EACH * F.length(x)
     found = F.regexp_extract_all(run, F.lit("[+/_=-]*[A-Za-z0-9]+"), F.lit(0))
     last = lambda x: F.regexp_extract(x, ".$", 0)
-    pieces = _bound(found, lambda x: F.zip_with(x, F.concat(F.array(F.lit("")), F.slice(x, 1, F.size(x) - 1)), lambda own, before: F.struct(own.alias("own"), last(before).alias("before"))))
+    pieces = bound(found, lambda x: F.zip_with(x, F.concat(F.array(F.lit("")), F.slice(x, 1, F.size(x) - 1)), lambda own, before: F.struct(own.alias("own"), last(before).alias("before"))))
     none = F.array().cast("array<struct<start:int,end:int>>")
     state = lambda at, start, total, best, end, spans: F.struct(at.alias("at"), start.alias("start"), total.alias("total"), best.alias("best"), end.alias("end"), spans.alias("spans"))
     kept = lambda acc: F.when(acc["best"] > 0, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])

@@ -3,8 +3,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.neardup import near_duplicates, op1_minhash_near_dedup
+from quire.llm.neardup import SQL, near_duplicates, op1_minhash_near_dedup
 
+from duck import same
 from llm_data import brute_components
 
 
@@ -17,6 +18,10 @@ def test_whole_table_equals_brute_force(spark, tiny):
     assert as_rows(op1_minhash_near_dedup(spark, tiny)) == brute_components([(r.doc_id, r.text) for r in docs], 85)
 
 
+def test_whole_table_equals_sql(spark, tiny):
+    same(op1_minhash_near_dedup(spark, tiny), SQL, tiny)
+
+
 def test_odd_rows(odd):
     rows = near_duplicates(odd).collect()
     found = {r.doc_id: r for r in rows}
