@@ -116,7 +116,7 @@ def parts_of(run: Column, table: Column) -> Column:
     excess = lambda x: ratio(x, table) - LEAST_EACH * F.length(x)
     found = F.regexp_extract_all(run, F.lit("[+/_=-]*[A-Za-z0-9]+"), F.lit(0))
     last = lambda x: F.regexp_extract(x, ".$", 0)
-    pieces = bound(found, lambda x: F.zip_with(x, F.concat(F.array(F.lit("")), F.slice(x, 1, F.size(x) - 1)), lambda own, before: F.struct(own.alias("own"), last(before).alias("before"))))
+    pieces = bound(found, lambda x: F.zip_with(x, F.concat(F.array(F.lit("")), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))), lambda own, before: F.struct(own.alias("own"), last(before).alias("before"))))
     none = F.array().cast("array<struct<start:int,end:int>>")
     state = lambda at, start, total, best, end, spans: F.struct(at.alias("at"), start.alias("start"), total.alias("total"), best.alias("best"), end.alias("end"), spans.alias("spans"))
     kept = lambda acc: F.when(acc["best"] > 0, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])

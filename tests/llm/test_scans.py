@@ -259,3 +259,10 @@ def test_running_sums(spark):
     rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 200)] + [([5] * 4097,)]
     out = spark.createDataFrame(rows, "x array<int>").select("x", secrets.running(F.col("x")).alias("y")).collect()
     assert all(r.y == [sum(r.x[:i]) for i in range(len(r.x))] for r in out)
+
+
+def test_runs_without_a_letter(spark):
+    """Rules of dashes and the like are candidates without any piece; they hold nothing."""
+    rows = [(1, "-" * 40), (2, "=" * 25 + "\n" + "_" * 30), (3, "+/" * 20 + " " + "-" * 20 + "a")]
+    words = spark.createDataFrame([("ordinary", 0), ("identifier", 0), ("aZ3kQ9xT1bW7", 1)], "sample string, label int")
+    assert all(r.spans == [] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), samples=words).collect())
