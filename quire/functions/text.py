@@ -166,6 +166,20 @@ def splice(text: Column, edits: Column) -> Column:
     return F.aggregate(late, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e["s"]), e["txt"], F.substring(acc, e["e"] + 1, F.length(acc))))
 
 
+def outside_kept(text: Column, revised: Column, edits: Column) -> Column:
+    """Whether revised has everything between the sorted edits (s, e, txt) of text, and their texts, and nothing else."""
+    state = lambda at, to, same: F.struct(at.alias("at"), to.alias("to"), same.alias("same"))
+
+    def step(acc: Column, e: Column) -> Column:
+        gap = e["s"] - acc["at"]
+        kept = F.substring(text, acc["at"] + 1, gap) == F.substring(revised, acc["to"] + 1, gap)
+        placed = F.substring(revised, acc["to"] + gap + 1, F.length(e["txt"])) == e["txt"]
+        return state(e["e"], acc["to"] + gap + F.length(e["txt"]), acc["same"] & (gap >= 0) & kept & placed)
+
+    rest = lambda acc: acc["same"] & (F.substring(text, acc["at"] + 1, F.length(text)) == F.substring(revised, acc["to"] + 1, F.length(revised)))
+    return F.aggregate(edits, state(F.lit(0), F.lit(0), F.lit(True)), step, rest)
+
+
 def percent(x: Column) -> Column:
     """A share as Python's .1% shows it: the exact binary value decides, ties go to even."""
     return F.format_string("%.1f%%", round_to(x * 100, 1))

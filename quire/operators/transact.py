@@ -40,11 +40,17 @@ def prepare(a: Analysis, families: DataFrame | None = None) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(~F.col("safe"), F.struct("char_start", "unit_id")))), lambda x: F.concat(x["unit_id"], F.lit(": donor hard anchors are not present at the receiver"))).alias("failures"),
         F.coalesce(F.bool_and(F.when(F.col("safe"), F.col("fresh"))), F.lit(True)).alias("new_duplication_absent"),
     ).filter(F.size("donors") > 0)
+    decided = a.decisions.groupBy("doc_id", "emission").agg(F.count("*").alias("rows"), F.count_distinct("unit_id").alias("decided"))
+    grouped = grouped.join(decided, ["doc_id", "emission"]).withColumn("ledger_reconciled", (F.col("rows") == F.col("decided")) & (F.col("decided") == F.size("unit_ids")))
     titles = a.sections.select("doc_id", F.col("title").alias("centre")).distinct().withColumn("cross_references_resolve", F.lit(True))
     done = grouped.join(a.documents, "doc_id").join(titles, ["doc_id", "centre"], "left").withColumn("cross_references_resolve", F.coalesce("cross_references_resolve", F.lit(False)))
     done = done.withColumn("base_document_hash", F.sha2("text", 256)).withColumn("anchors_preserved", F.size("failures") == 0)
-    passed = F.col("anchors_preserved") & F.col("cross_references_resolve") & F.col("new_duplication_absent")
     edits = F.transform("donors", lambda d: F.struct(d["char_start"].alias("s"), d["char_end"].alias("e"), d["proposed_repair"].alias("txt")))
+    done = done.withColumn("edits", F.array_sort(edits)).withColumn("spliced", T.splice(F.col("text"), F.col("edits")))
+    done = done.withColumn("scope_isolated", T.outside_kept(F.col("text"), F.col("spliced"), F.col("edits")))
+    passed = F.lit(True)
+    for c in CHECKS:
+        passed = passed & F.col(c)
     receiver = F.struct(
         F.col("receiver.text").alias("original_text"), F.col("donors.original_text").alias("incoming_payload"), F.col("receiver.text").alias("proposed_text"),
         F.transform("donors", lambda d: F.struct(d["unit_id"].alias("source_unit_id"), F.col("receiver.text").alias("target_span"))).alias("provenance"),
@@ -53,9 +59,9 @@ def prepare(a: Analysis, families: DataFrame | None = None) -> DataFrame:
         "doc_id", "emission", "place", "family_id", F.concat(F.lit("tx_"), F.substring(F.sha2(F.concat_ws("|", "base_document_hash", "family_id"), 256), 1, 12)).alias("transaction_id"),
         "base_document_hash", F.when(passed, "committed").otherwise("rolled_back").alias("state"), "centre",
         F.transform("donors", lambda d: d.dropFields("char_start", "char_end")).alias("donors"), receiver.alias("receiver"), F.col("donors.unit_id").alias("changed_unit_ids"),
-        F.lit(True).alias("ledger_reconciled"), "anchors_preserved", F.lit(True).alias("scope_isolated"), "cross_references_resolve", "new_duplication_absent",
+        "ledger_reconciled", "anchors_preserved", "scope_isolated", "cross_references_resolve", "new_duplication_absent",
         F.lit("passed").alias("semantic_adjudication"), "failures", F.array_join(F.array_sort("unit_ids"), "|").alias("signature"),
-        F.when(passed, T.splice(F.col("text"), edits)).otherwise(F.col("text")).alias("revised_document"),
+        F.when(passed, F.col("spliced")).otherwise(F.col("text")).alias("revised_document"),
     )
 
 
