@@ -369,9 +369,11 @@ def near_duplicates(
     right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     signed = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     loose = materialise(components(signed.mapInArrow(released(_agreeing(least)), "a long, b long")), "loose")
+    discard(near)
     crowded = _crowds(classes, loose, trees, depth, least, percent)
     clusters = components(loose.select(F.col("id").alias("a"), F.col("component").alias("b")).union(crowded))
     clusters = materialise(clusters.select("id", F.col("component").alias("cluster")), "clusters")
+    discard(loose)
 
     sized = clusters.join(classes.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
