@@ -49,3 +49,14 @@ def test_instability_is_that_of_whole_texts(spark, tiny):
         text = texts[r.doc_id]
         changed = re.sub("[.] ", ". See above. ", text)
         assert r.instability == pytest.approx(0 if text == changed else 1 - difflib.SequenceMatcher(None, text, changed).ratio(), abs=1e-6)
+
+
+def test_recurring_statements_are_worked_out_once(spark, tiny):
+    """What reads the derived documents, admission's filter among it, must not work out their texts again."""
+    from quire.operators import ledger
+
+    def digests(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    assert digests(core.recurring(docs)) == digests(ledger.units(ledger.admit(core.recurring(docs))[0])) == 3
