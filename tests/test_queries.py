@@ -60,3 +60,13 @@ def test_recurring_statements_are_worked_out_once(spark, tiny):
 
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
     assert digests(core.recurring(docs)) == digests(ledger.units(ledger.admit(core.recurring(docs))[0])) == 3
+
+
+def test_readers_of_units_pay_for_no_pairs(spark, tiny, monkeypatch):
+    from quire.operators import relate
+
+    def refuse(*_):
+        raise AssertionError("pairs were worked out")
+
+    monkeypatch.setattr(relate, "candidate_edges", refuse)
+    assert core.queries()["gate_global"](spark, tiny).count() > 0
