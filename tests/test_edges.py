@@ -1,6 +1,7 @@
 """Sources, sinks, streams and the model-assisted pass."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,21 @@ def test_response_text(spark):
     text, error = gates.response_text(F.col("response"))
     rows = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(said)], "i int, response string").select("i", text.alias("t"), error.alias("e")).orderBy("i").collect()
     assert [(r.t, r.e) for r in rows] == [("a", None), ("b", None), (None, "Model refusal: no"), (None, "The response holds no structured output text")]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Many tables are stored in one run; their shuffles must not wait for the driver's garbage collection."""
+    import glob
+
+    from quire.sources.scratch import stored
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString()
+    shuffles = lambda: set(glob.glob(f"{folder}/**/shuffle*.data", recursive=True))
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counted = stored(spark.range(0, 100_000, 1, 4).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and counted.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
