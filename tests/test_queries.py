@@ -70,3 +70,25 @@ def test_readers_of_units_pay_for_no_pairs(spark, tiny, monkeypatch):
 
     monkeypatch.setattr(relate, "candidate_edges", refuse)
     assert core.queries()["gate_global"](spark, tiny).count() > 0
+
+
+def test_pairs_are_counted_where_their_document_lies(spark, tiny):
+    """Pairs are many more than units: only the words of units may move, once."""
+    from quire.operators import ledger, relate
+
+    units = core.stored(ledger.units(spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")))
+    assert relate.blocked_pairs(units)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_rounding_is_pythons_next_to_middles(spark):
+    import math
+    import random
+
+    from quire.functions import text as T
+
+    dice, values = random.Random(5), [0.0, 1.0, 0.35, 1999.99995, 2000.00005, 123456.78905]
+    for _ in range(4000):
+        x = dice.choice([dice.random(), dice.randrange(20001) / 20000, dice.randrange(1, 60) / dice.randrange(1, 60), dice.random() * 3000])
+        values += [x, math.nextafter(x, 9e9), math.nextafter(x, 0)]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    assert all(r.r == round(r.v, 4) for r in rows.select("v", T.rounded("v", "r")).collect())
