@@ -92,3 +92,21 @@ def test_rounding_is_pythons_next_to_middles(spark):
         values += [x, math.nextafter(x, 9e9), math.nextafter(x, 0)]
     rows = spark.createDataFrame([(float(v),) for v in values], "v double")
     assert all(r.r == round(r.v, 4) for r in rows.select("v", T.rounded("v", "r")).collect())
+
+
+def test_stored_units_hold_no_word_sets(spark, tiny):
+    """Word sets follow from the normalised text; stored too, they were over half of what a run keeps on disk."""
+    from quire.plans.analysis import analyse
+
+    kept = []
+    a = analyse(spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").limit(5), keep=lambda df: kept.append(df) or df)
+    assert {"tokens", "content", "concepts"} <= set(a.units.columns) and not {"tokens", "content", "concepts"} & set(kept[0].columns)
+
+
+def test_anchors_are_those_of_pythons_patterns(spark):
+    """Digits that lead a longer word are no number, and a letter beyond ASCII goes on with a word: no term ends there."""
+    from quire.operators import ledger
+
+    texts = ['token = "11acdfb36b"', "Thshea Stte\xe4 zu", "7th of 7, 2321b", "Open Data Set", "1\xe9 and 12%"]
+    rows = ledger.units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.numbers, r.defined_terms) for r in rows} == {0: ([], []), 1: ([], []), 2: (["7,"], []), 3: ([], ["Open Data Set"]), 4: (["12%"], [])}
