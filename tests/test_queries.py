@@ -110,3 +110,47 @@ def test_anchors_are_those_of_pythons_patterns(spark):
     texts = ['token = "11acdfb36b"', "Thshea Stte\xe4 zu", "7th of 7, 2321b", "Open Data Set", "1\xe9 and 12%"]
     rows = ledger.units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: (r.numbers, r.defined_terms) for r in rows} == {0: ([], []), 1: ([], []), 2: (["7,"], []), 3: ([], ["Open Data Set"]), 4: (["12%"], [])}
+
+
+def test_certification_reads_the_first_rounds_analysis(spark, tiny, monkeypatch):
+    """Originals were analysed twice, once in the first round and once to certify it; the report must stay the same."""
+    from pyspark.sql import functions as F
+
+    from quire.operators import ledger
+    from quire.plans.safe_pass import SafePass, certify_formally, safe_pass
+
+    made, plain = [], ledger.bare_units
+    monkeypatch.setattr(ledger, "bare_units", lambda docs: made.append(docs) or plain(docs))
+    rows = core.recurring(spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").filter("doc_id % 10 = 0"))
+    odd = spark.createDataFrame([(-1, "One id. One id."), (-1, "Two texts."), (-2, " "), (-3, None), (None, "No id.")], "doc_id long, text string")
+    done = safe_pass(core.stored(rows.union(odd)), max_transactions=2)
+    found = certify_formally(done)
+    assert len(made) == 3  # two rounds and the revised texts
+    again = certify_formally(SafePass(done.documents, done.transactions))
+    for a, b in zip(found[:2], again[:2]):
+        assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    # what was not kept of the first round can still be asked for
+    assert found[2].decisions.select(F.struct("*")).exceptAll(again[2].decisions.select(F.struct("*"))).isEmpty()
+
+
+def test_plans_of_documents_are_worked_out_once(spark, tiny):
+    """Complexity reads the plan three times; its windows and joins were worked out for each."""
+    from quire.plans.analysis import analyse
+
+    a = analyse(core.recurring(spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").limit(5)))
+    assert "Window" not in a.complexity._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_driver_collects_its_garbage_between_tables():
+    """Plans of tables already written filled the driver's heap up to its limit, and it never shrank."""
+    from types import SimpleNamespace as Own
+
+    from quire.sources import scratch
+
+    def collected(total):
+        seen = []
+        lang = Own(Runtime=Own(getRuntime=lambda: Own(totalMemory=lambda: total, maxMemory=lambda: 1000)), System=Own(gc=lambda: seen.append(1)))
+        scratch._tidy(Own(_jvm=Own(java=Own(lang=lang))))
+        return len(seen)
+
+    assert [collected(total) for total in (400, 500, 501, 1000)] == [0, 0, 1, 1]
