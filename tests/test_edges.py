@@ -229,3 +229,16 @@ def test_driver_hands_freed_memory_back(spark, monkeypatch):
     version = spark._jvm.java.lang.Runtime.version()
     known = spark._jvm.java.lang.System.getProperty("os.name") == "Linux" and (version.feature(), version.interim(), version.update()) >= (17, 0, 9)
     assert len(seen) == 1 and (seen[0] or not known)
+
+
+def test_stored_tables_are_not_joined_on_the_driver(spark):
+    """Two million places pack into some KB of files, so the driver collected and hashed them all for a broadcast join."""
+    from quire.sources.scratch import stored
+
+    places = stored(spark.range(0, 2_000_000, 1, 4).select(F.floor(F.col("id") / 100).alias("doc_id"), (F.col("id") % 100).cast("int").alias("ord")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    loose = spark.range(0, 2_000_000, 1, 4).select(F.floor(F.col("id") / 100).alias("doc_id"))
+    counts = places.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    for joined in (loose.join(places.withColumn("one", F.lit(1)), "doc_id"), loose.join(counts, "doc_id", "left"), places.join(loose, "doc_id", "left_semi")):
+        assert "Broadcast" not in plan(joined) and "SortMergeJoin" in plan(joined)
+    assert counts.join(places, "doc_id").count() == 2_000_000
