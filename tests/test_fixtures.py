@@ -143,6 +143,53 @@ def test_safe_pass(passed):
     assert out[71].revised_text == DOCS[71] and out[71].eligible_families_remaining == 1
 
 
+def test_whole_passes_of_documents_agree_with_rounds_over_the_collection(spark, docs, passed):
+    """Rounds over the collection took some forty tables each; a document's rounds need nothing of other documents."""
+    from quire.plans.safe_pass import finished
+    from quire.queries import recurring
+
+    made = finished(docs)
+    assert made.count() > 10 and sorted(made.collect()) == sorted(passed.documents.select(*made.columns).collect())
+    # statements in groups, all dispositions among them, and a cap that some documents reach
+    rows = recurring(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("doc_id % 4 = 0")).localCheckpoint().union(docs)
+    made, by_rounds = finished(rows, max_transactions=1), safe_pass(rows, max_transactions=1).documents
+    assert sorted(made.collect()) == sorted(by_rounds.select(*made.columns).collect()) and {r.stop_reason[:6] for r in made.collect()} == {"Safety", "No fur"}
+
+
+def test_all_rounds_of_prose_store_no_tables(spark, tiny, monkeypatch):
+    """Writing each round's tables took longer than the work in them."""
+    from pyspark.sql import DataFrameWriter
+
+    from quire.queries import prose_safe_pass
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *_, **__: pytest.fail("a table was stored"))
+    assert prose_safe_pass(spark, tiny).count() == 200
+
+
+def test_sentences_met_often_are_counted_alike(monkeypatch):
+    """Many meetings are counted in arrays, few one by one; words of a group are other words than their concept."""
+    from quire.plans import rounds
+
+    dice = random.Random(3)
+    words = ["archive", "keep", "retain", "evidence", "proof", "418", "Open Data Set", "review", "should", "quartz", "ledger", "beacon"]
+    own = [" ".join(dice.choices(words, k=dice.randint(1, 9))) + "." for _ in range(400)]
+    found = []
+    for many in (0, 10**9):
+        monkeypatch.setattr(rounds, "_MANY", many)
+        kinds = rounds.Kinds()
+        for text in own:
+            kinds.recurs(kinds(text))
+        found.append(kinds.near)
+    assert found[0] == found[1] and sum(map(len, found[0])) > 1000
+    # pairs that were passed over because they share too little are none
+    kinds._least = 0
+    for b in range(len(kinds.own)):
+        for a in range(b):
+            if kinds.own[a].concepts & kinds.own[b].concepts and b not in kinds.near[a]:
+                kinds._score(b, a, len(kinds.own[a].concepts & kinds.own[b].concepts))
+                assert b not in kinds.near[a]
+
+
 def test_conservation_after_safe_pass(passed):
     report = {r.doc_id: r for r in certify_formally(passed)[1].collect()}
     assert all(r.ledger_coverage == 1.0 and not r.failures for k, r in report.items() if k != 12)
